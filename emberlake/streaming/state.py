@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,45 +21,37 @@ _COOLDOWN_US = ALERT_COOLDOWN_HOURS * 3_600_000_000
 
 
 def _cool_down(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Fire at the first exceedance and again once the cooldown has passed."""
+    """Fire at the first exceedance and again once the cooldown has passed.
+
+    Only the times and scores of this micro-batch are held, which the stream's
+    admission limit bounds; the loop jumps from firing to firing.
+    """
     last = state.get[0] if state.exists else None
-    for batch in batches:
-        keep = []
-        for i, t in enumerate(batch["us"].to_numpy()):
-            if last is None or t - last >= _COOLDOWN_US:
-                keep.append(i)
-                last = int(t)
-        fired = batch.iloc[keep]
-        yield pd.DataFrame({"alert_id": key[0], "ts": fired["ts"], "score": fired["score"]})
-    if last is not None:
+    parts = [(b["us"].to_numpy(), b["score"].to_numpy()) for b in batches]
+    times = np.concatenate([p[0] for p in parts])
+    scores = np.concatenate([p[1] for p in parts])
+    order = np.lexsort((scores, times))
+    times, scores = times[order], scores[order]
+    fired = []
+    at = 0 if last is None else int(np.searchsorted(times, last + _COOLDOWN_US))
+    while at < len(times):
+        fired.append(at)
+        last = int(times[at])
+        at = int(np.searchsorted(times, last + _COOLDOWN_US))
+    if fired:
         state.update((last,))
+    stamps = pd.to_datetime(times[fired], unit="us")
+    yield pd.DataFrame({"alert_id": key[0], "ts": stamps, "score": scores[fired]})
 
 
 def cooled_alerts(readings: DataFrame) -> DataFrame:
     """Alert firings from readings (alert_id, ts, score, threshold).
 
-    Readings below the threshold never reach the state. An hour of an alert is
-    first reduced to its earliest exceedance: with a cooldown longer than an hour
-    nothing else of that hour can fire, so an alert's rows per batch are bounded
-    by the hours in it. Input has to arrive in event-time order from batch to batch;
-    rows of a batch are ordered by the aggregation's hour and sorted here.
+    Readings below the threshold never reach the state. Micro-batches must come in
+    event-time order; rows of one batch may come in any.
     """
-    over = readings.where(F.col("score") >= F.col("threshold")).select("alert_id", "ts", "score")
-    timed = over.withColumn("us", F.unix_micros("ts"))
-    return timed.groupBy("alert_id").applyInPandasWithState(_sorted_cool_down, FIRED, _LAST, "append", GroupStateTimeout.NoTimeout)
-
-
-def _sorted_cool_down(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Order the exceedances of one alert in this batch, one kept per hour, then apply the cooldown."""
-    firsts: dict[int, tuple] = {}
-    for batch in batches:
-        hours = batch["us"] // 3_600_000_000
-        for i in batch.groupby(hours)["us"].idxmin():
-            row, hour = batch.loc[i], int(hours.loc[i])
-            if hour not in firsts or row["us"] < firsts[hour][0]:
-                firsts[hour] = (int(row["us"]), row["ts"], float(row["score"]))
-    ordered = pd.DataFrame([firsts[h] for h in sorted(firsts)], columns=["us", "ts", "score"])
-    return _cool_down(key, iter([ordered]), state)
+    over = readings.where(F.col("score") >= F.col("threshold")).select("alert_id", F.unix_micros("ts").alias("us"), "score")
+    return over.groupBy("alert_id").applyInPandasWithState(_cool_down, FIRED, _LAST, "append", GroupStateTimeout.NoTimeout)
 
 
 class LatestSnapshot:

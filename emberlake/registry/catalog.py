@@ -6,7 +6,7 @@ from importlib import import_module
 
 from emberlake.registry.base import ORACLES, QUERIES
 
-MODULES = ["columns"]
+MODULES = ["columns", "joins"]
 
 
 def _load() -> None:

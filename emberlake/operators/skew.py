@@ -8,18 +8,20 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 MAX_HOT_KEYS = 1000
+ROWS_PER_SALT = 250_000
+MAX_SALTS = 10_000
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], max_keys: int = MAX_HOT_KEYS) -> DataFrame:
-    """Keys that own more than 1/``max_keys`` of the rows, and how many salts each gets.
+def hot_keys(counts: DataFrame, keys: Sequence[str], rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
+    """The most frequent keys and how many salts each gets; ``counts`` has ``_n`` rows per key.
 
-    At most ``max_keys`` such keys can exist, so the result may be broadcast
-    whatever the size of ``df``. Counting uses map-side combine.
+    The result has at most ``MAX_HOT_KEYS`` rows by its limit, so it may be
+    broadcast whatever the size of the data. A key left out owns less than a
+    thousandth of the rows.
     """
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).scalar()
-    share = F.col("_n") * F.lit(float(max_keys)) / total
-    return counts.where(share > 1.0).select(*keys, F.least(F.ceil(share), F.lit(max_keys)).cast("int").alias("_salts"))
+    salts = F.least(F.ceil(F.col("_n") / rows_per_salt), F.lit(MAX_SALTS)).cast("int")
+    many = counts.where(F.col("_n") > rows_per_salt).select(*keys, "_n", salts.alias("_salts"))
+    return many.orderBy(F.desc("_n")).limit(MAX_HOT_KEYS).drop("_n")
 
 
 def salted_join(
@@ -28,27 +30,22 @@ def salted_join(
     keys: Sequence[str],
     salt_on: Sequence[str],
     how: str = "inner",
-    max_keys: int = MAX_HOT_KEYS,
+    rows_per_salt: int = ROWS_PER_SALT,
 ) -> DataFrame:
     """Equi-join whose hot keys are split over many tasks.
 
     Rows of ``big`` with a hot key get a salt from a hash of ``salt_on`` (which
     should tell rows of one key apart, and makes retries repeat the same salt);
     the matching rows of ``small`` are repeated once per salt. Other keys keep
-    salt 0 and cost nothing extra.
+    salt 0 and cost nothing extra. Keys are counted with map-side combine.
     """
-    hot = F.broadcast(hot_keys(big, keys, max_keys))
+    counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = F.broadcast(hot_keys(counts, keys, rows_per_salt))
     salts = F.coalesce(F.col("_salts"), F.lit(1))
-    left = (
-        big.join(hot, list(keys), "left")
-        .withColumn("_salt", F.pmod(F.xxhash64(*salt_on), salts).cast("int"))
-        .drop("_salts")
-    )
-    right = (
-        small.join(hot, list(keys), "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), salts - 1)))
-        .drop("_salts")
-    )
+    salt = F.pmod(F.xxhash64(*salt_on), salts).cast("int").alias("_salt")
+    left = big.join(hot, list(keys), "left").select(*big.columns, salt)
+    copies = F.explode(F.sequence(F.lit(0), salts - 1)).alias("_salt")
+    right = small.join(hot, list(keys), "left").select(*small.columns, copies)
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 

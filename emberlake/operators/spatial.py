@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from emberlake.constants import BUFFER_DAYS, FIRE_CELL_CAP_DEG, FIRE_RADIUS_KM, KM_PER_DEG
@@ -17,16 +17,22 @@ def _bin(value: Column, size: float) -> Column:
     return F.floor(value / size).cast("bigint")
 
 
-def typical_spacing(targets: DataFrame, y: str = "lat", x: str = "lon") -> float:
-    """Bin size that holds about one target, from one small aggregate over them."""
-    row = targets.agg(
-        F.count(F.lit(1)).alias("n"), F.min(y), F.max(y), F.min(x), F.max(x)
-    ).first()
-    n, y0, y1, x0, x1 = row
+def bin_size_for(places: DataFrame, most: int = 64) -> float:
+    """A bin size at which no bin holds more than ``most`` places.
+
+    Starts from the mean spacing and halves while some bin is fuller; only single
+    numbers come back to the driver.
+    """
+    n, y0, y1, x0, x1 = places.agg(F.count(F.lit(1)), F.min("_ty"), F.max("_ty"), F.min("_tx"), F.max("_tx")).first()
     if not n:
         return 1.0
-    area = max(y1 - y0, 1e-6) * max(x1 - x0, 1e-6)
-    return min(max(math.sqrt(area / n), 1e-4), 45.0)
+    size = max(math.sqrt(max(y1 - y0, 1e-6) * max(x1 - x0, 1e-6) / n), 1e-4)
+    while size > 1e-6:
+        per_bin = places.groupBy(_bin(F.col("_ty"), size), _bin(F.col("_tx"), size)).count()
+        if per_bin.agg(F.max("count")).first()[0] <= most:
+            break
+        size /= 2
+    return size
 
 
 def nearest(
@@ -36,23 +42,24 @@ def nearest(
     target_id: str,
     scale: tuple[float, float] = (1.0, 1.0),
     bin_size: float | None = None,
-    levels: int | None = None,
     keep: Sequence[str] = (),
 ) -> DataFrame:
     """Exact nearest target of every point: J01, J02, J04, J21.
 
     Distance is Euclidean in (lat * scale[0], lon * scale[1]); equal distances go
-    to the smallest target id. Adds ``<target_id>`` and ``distance``; points keep
-    all their columns, and those without coordinates are dropped. ``keep`` names
-    further target columns to bring along.
+    to the smallest target id. Adds ``<target_id>`` and ``distance`` to the points'
+    columns; points without coordinates are dropped. ``keep`` names further target
+    columns to bring along.
 
     The search is planned per *bin of points*, not per point. Bins double in size
-    from level to level. For a bin, the lowest level whose bin around it holds a
-    target bounds the distance by that bin's diagonal, so the 3 x 3 block one
-    level up must contain the nearest target of every point in the bin. Of those
-    candidates only the ones that can win for some point of the bin stay. Points
-    then meet their few candidates in one join on the bin, salted when one bin
-    holds much of the points.
+    from level to level up to one that holds everything. The lowest level at which
+    the bin around a base bin holds a target bounds the distance by that bin's
+    diagonal, so the 3 x 3 block one level up must contain the nearest target of
+    every point of the base bin. Of the occupied base bins in that block only those
+    that can win for some point stay, then only such targets. What is left is a
+    short list per bin, because no base bin holds many targets. Points meet the
+    list of their bin in one join, salted where one bin has many points, and take
+    the least distance in place: they are shuffled once and never grouped.
     """
     sy, sx = scale
     places = (
@@ -60,63 +67,65 @@ def nearest(
         .groupBy((F.col("lat") * sy).alias("_ty"), (F.col("lon") * sx).alias("_tx"))
         .agg(F.min(F.struct(target_id, *keep)).alias("_t"))
     )
-    size = bin_size or typical_spacing(places, "_ty", "_tx")
-    if levels is None:
-        levels = max(2, math.ceil(math.log2(360.0 * max(sy, sx) / size)) + 1)
-
-    located = points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-    located = located.withColumns({"_py": F.col("lat") * sy, "_px": F.col("lon") * sx})
-    located = located.withColumns({"_by": _bin(F.col("_py"), size), "_bx": _bin(F.col("_px"), size)})
-
-    # Level of every bin that holds points.
-    ladder = F.explode(F.sequence(F.lit(0), F.lit(levels))).alias("_k")
-    up = lambda c: F.floor(F.col(c) / F.pow(F.lit(2.0), F.col("_k"))).cast("bigint")
-    target_bins = places.select(_bin(F.col("_ty"), size).alias("_by"), _bin(F.col("_tx"), size).alias("_bx")).distinct()
-    occupied = target_bins.select("_by", "_bx", ladder).select("_k", up("_by").alias("_ky"), up("_bx").alias("_kx")).distinct()
-    point_bins = located.select("_by", "_bx").distinct()
-    climbed = point_bins.select("_by", "_bx", ladder).withColumns({"_ky": up("_by"), "_kx": up("_bx")})
-    lowest = climbed.join(occupied, ["_k", "_ky", "_kx"], "left_semi").groupBy("_by", "_bx").agg(F.min("_k").alias("_k"))
-    levelled = point_bins.join(lowest, ["_by", "_bx"], "left").withColumn(
-        "_k", F.least(F.coalesce(F.col("_k") + 1, F.lit(levels)), F.lit(levels))
+    size = bin_size or bin_size_for(places)
+    top = max(2, math.ceil(math.log2(360.0 * max(sy, sx) / size)) + 1)
+    side = lambda y, x: [_bin(F.col(y), size).alias("_by"), _bin(F.col(x), size).alias("_bx")]
+    ladder = F.explode(F.sequence(F.lit(0), F.lit(top))).alias("_k")
+    up = lambda c: F.when(F.col("_k") < top, F.call_function("shiftright", F.col(c), F.col("_k"))).otherwise(F.lit(0))
+
+    placed = points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(
+        "*", (F.col("lat") * sy).alias("_py"), (F.col("lon") * sx).alias("_px")
+    )
+    placed = placed.select("*", *side("_py", "_px"))
+    target_bins = places.select(*side("_ty", "_tx")).distinct()
+    climbing = target_bins.select("_by", "_bx", ladder).select(
+        "_k", up("_by").alias("_ky"), up("_bx").alias("_kx"), F.col("_by").alias("_ty0"), F.col("_bx").alias("_tx0")
+    )
+    occupied = climbing.select("_k", "_ky", "_kx").distinct()
+    point_bins = placed.select("_by", "_bx").distinct().select("_by", "_bx", ladder)
+    lowest = (
+        point_bins.select("*", up("_by").alias("_ky"), up("_bx").alias("_kx"))
+        .join(occupied, ["_k", "_ky", "_kx"], "left_semi")
+        .groupBy("_by", "_bx")
+        .agg(F.least(F.min("_k") + 1, F.lit(top)).alias("_k"))
     )
-
-    # Candidates of a bin: its 3 x 3 block at that level, less those that cannot win.
     step = F.array(F.lit(-1), F.lit(0), F.lit(1))
-    block = (
-        levelled.withColumns({"_cy": up("_by"), "_cx": up("_bx")})
-        .withColumn("_dy", F.explode(step))
-        .withColumn("_dx", F.explode(step))
-        .select("_by", "_bx", "_k", (F.col("_cy") + F.col("_dy")).alias("_ky"), (F.col("_cx") + F.col("_dx")).alias("_kx"))
-    )
-    used = levelled.select("_k").distinct()
-    target_levels = (
-        places.withColumns({"_by": _bin(F.col("_ty"), size), "_bx": _bin(F.col("_tx"), size)})
-        .withColumn("_k", F.explode(F.sequence(F.lit(0), F.lit(levels))))
-        .join(F.broadcast(used), "_k", "left_semi")
-        .select("_k", up("_by").alias("_ky"), up("_bx").alias("_kx"), "_ty", "_tx", "_t")
+    block = lowest.select("*", F.explode(step).alias("_dy")).select("*", F.explode(step).alias("_dx"))
+    block = block.select("_by", "_bx", "_k", (up("_by") + F.col("_dy")).alias("_ky"), (up("_bx") + F.col("_dx")).alias("_kx"))
+
+    # bin to bin: closest and farthest two points of the bins can be, in bins
+    ay, ax = F.abs(F.col("_ty0") - F.col("_by")), F.abs(F.col("_tx0") - F.col("_bx"))
+    gy, gx = F.greatest(ay - 1, F.lit(0)).cast("double"), F.greatest(ax - 1, F.lit(0)).cast("double")
+    fy, fx = (ay + 1).cast("double"), (ax + 1).cast("double")
+    pairs = block.join(climbing, ["_k", "_ky", "_kx"]).select(
+        "_by", "_bx", "_ty0", "_tx0", (gy * gy + gx * gx).alias("_near"), (fy * fy + fx * fx).alias("_far")
     )
+    own = Window.partitionBy("_by", "_bx")
+    useful = pairs.select("*", F.min("_far").over(own).alias("_reach")).where(F.col("_near") <= F.col("_reach"))
+    members = places.select("_ty", "_tx", "_t", _bin(F.col("_ty"), size).alias("_ty0"), _bin(F.col("_tx"), size).alias("_tx0"))
+    # bin to target: drop targets that some other target beats everywhere in the bin
     y0, x0 = F.col("_by") * size, F.col("_bx") * size
-    gap = lambda v, low: F.greatest(low - v, v - low - size, F.lit(0.0))
-    far = lambda v, low: F.greatest(F.abs(v - low), F.abs(v - low - size))
-    near2 = gap(F.col("_ty"), y0) * gap(F.col("_ty"), y0) + gap(F.col("_tx"), x0) * gap(F.col("_tx"), x0)
-    far2 = far(F.col("_ty"), y0) * far(F.col("_ty"), y0) + far(F.col("_tx"), x0) * far(F.col("_tx"), x0)
-    paired = block.join(target_levels, ["_k", "_ky", "_kx"]).select("_by", "_bx", "_ty", "_tx", "_t", near2.alias("_near"), far2.alias("_far"))
-    reach = paired.groupBy("_by", "_bx").agg(F.min("_far").alias("_reach"))
-    candidates = (
-        paired.join(reach, ["_by", "_bx"])
+    square = lambda a, b: a * a + b * b
+    gap = lambda c, low: F.greatest(low - F.col(c), F.col(c) - low - size, F.lit(0.0))
+    far = lambda c, low: F.greatest(F.abs(F.col(c) - low), F.abs(F.col(c) - low - size))
+    measured = (
+        useful.select("_by", "_bx", "_ty0", "_tx0")
+        .join(members, ["_ty0", "_tx0"])
+        .select("_by", "_bx", "_ty", "_tx", "_t", square(gap("_ty", y0), gap("_tx", x0)).alias("_near"), square(far("_ty", y0), far("_tx", x0)).alias("_far"))
+    )
+    short = (
+        measured.select("*", F.min("_far").over(own).alias("_reach"))
         .where(F.col("_near") <= F.col("_reach") * (1 + 1e-9))
-        .select("_by", "_bx", "_ty", "_tx", "_t")
+        .groupBy("_by", "_bx")
+        .agg(F.collect_list(F.struct("_ty", "_tx", "_t")).alias("_list"))
     )
 
-    dy, dx = F.col("_py") - F.col("_ty"), F.col("_px") - F.col("_tx")
-    met = salted_join(located.select(point_id, "_py", "_px", "_by", "_bx"), candidates, ["_by", "_bx"], [point_id])
-    best = met.groupBy(point_id).agg(F.min(F.struct((dy * dy + dx * dx).alias("d2"), F.col("_t"))).alias("_best"))
-    picked = best.select(
-        point_id,
-        *[F.col(f"_best._t.{c}").alias(c) for c in (target_id, *keep)],
-        F.sqrt("_best.d2").alias("distance"),
+    met = salted_join(placed, short, ["_by", "_bx"], [point_id])
+    offset = lambda t: square(F.col("_py") - t["_ty"], F.col("_px") - t["_tx"])
+    best = F.array_min(F.transform("_list", lambda t: F.struct(offset(t).alias("d2"), t["_t"].alias("t"))))
+    return met.select(*points.columns, best.alias("_best")).select(
+        *points.columns, *[F.col(f"_best.t.{c}").alias(c) for c in (target_id, *keep)], F.sqrt("_best.d2").alias("distance")
     )
-    return points.join(picked, point_id)
 
 
 def assign_fires(fires: DataFrame, cells: DataFrame, cap_deg: float = FIRE_CELL_CAP_DEG, fire_id: str = "fire_id") -> DataFrame:

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from emberlake.registry.base import ORACLES, QUERIES
 
-MODULES = ["columns", "joins"]
+MODULES = ["columns", "joins", "aggs"]
 
 
 def _load() -> None:

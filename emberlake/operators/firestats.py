@@ -9,6 +9,7 @@ from emberlake.constants import SEASON_DAYS_10YR
 from emberlake.functions.score import percentile_label
 from emberlake.operators.skew import group_median, running_totals, salted_join
 from emberlake.operators.spatial import in_zone_envelope, within_radius, zone_envelope
+from emberlake.session import materialize
 
 TIERS = {"10yr": 10, "30yr": 30, "all": None}
 
@@ -110,15 +111,21 @@ def susceptibility(tiers: DataFrame, rates: DataFrame) -> DataFrame:
     return joined.withColumns({"susceptibility_score": score, "susceptibility_basis": basis}).drop("_gcells", "_grate", "_zrate")
 
 
-def percentile_of(df: DataFrame, value: str, name: str, row_id: str = "cell_id") -> DataFrame:
+def percentile_of(df: DataFrame, names: dict[str, str], row_id: str = "cell_id") -> DataFrame:
     """round(100 * rows strictly below / rows), half to even, at most 100.
 
-    The rank comes from totals over distinct values; it is joined back by value,
-    salted because one value may belong to a third of the rows.
+    ``names`` maps a value column to its percentile column. A rank comes from
+    totals over distinct values; it is joined back by value, salted because one
+    value may belong to a third of the rows. ``df`` should be a stored table: it is
+    read once per value and once more.
     """
-    ranked = running_totals(df.select(value), value, {"n": F.count(F.lit(1))})
-    pct = F.least(F.bround(F.col("n_before") / F.col("n_all") * 100.0, 0), F.lit(100.0)).cast("int")
-    return salted_join(df, ranked.select(value, pct.alias(name)), [value], [row_id], "left")
+    out = df
+    for value, name in names.items():
+        ranked = running_totals(df.select(value), value, {"n": F.count(F.lit(1))})
+        pct = F.least(F.bround(F.col("n_before") / F.col("n_all") * 100.0, 0), F.lit(100.0)).cast("int")
+        counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("_n"))
+        out = salted_join(out, ranked.select(value, pct.alias(name)), [value], [row_id], "left", counts=counts)
+    return out
 
 
 def keep_first_fire(fires: DataFrame) -> DataFrame:
@@ -169,14 +176,20 @@ def matched_fires(cells: DataFrame, fires: DataFrame, radius_km: float = 10.0, p
     return pairs.select("cell_id", "year", "cause", "fires", "size_ha", "distance_km")
 
 
+def cell_tiers(cells: DataFrame, fires: DataFrame, as_of_year: int, parity_envelope: bool = False) -> DataFrame:
+    """A01 for every cell, stored: rates, susceptibility and ranks all read it again."""
+    base = cells.select("cell_id", "lat", "lon", "bec_zone", "fuel_type")
+    pairs = matched_fires(base, fires, parity_envelope=parity_envelope)
+    return materialize(tier_summary(base, pairs, as_of_year), "fire-tiers")
+
+
 def fire_statistics(cells: DataFrame, fires: DataFrame, as_of_year: int, parity_envelope: bool = False, cell_area_ha: float = 100.0) -> DataFrame:
     """Q03: the full statistics row of every cell."""
-    base = cells.select("cell_id", "lat", "lon", "bec_zone", "fuel_type")
-    tiers = tier_summary(base, matched_fires(base, fires, parity_envelope=parity_envelope), as_of_year)
-    rated = susceptibility(tiers, fire_rates(tiers))
-    rated = rated.withColumn("_exposure", F.col("fires_10yr.count"))
-    ranked = percentile_of(percentile_of(rated, "susceptibility_score", "susceptibility_percentile"), "_exposure", "exposure_percentile")
-    regime = fire_regime(base, fires, as_of_year, cell_area_ha)
+    tiers = cell_tiers(cells, fires, as_of_year, parity_envelope)
+    rated = susceptibility(tiers, fire_rates(tiers)).withColumn("_exposure", F.col("fires_10yr.count"))
+    stored = materialize(rated, "fire-rates")
+    ranked = percentile_of(stored, {"susceptibility_score": "susceptibility_percentile", "_exposure": "exposure_percentile"})
+    regime = fire_regime(cells, fires, as_of_year, cell_area_ha)
     return (
         ranked.withColumn("susceptibility_label", percentile_label(F.col("susceptibility_percentile")))
         .join(F.broadcast(regime), "bec_zone", "left")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from emberlake.constants import EVAL_THRESHOLDS, F1_THRESHOLDS
+from emberlake.operators.skew import running_totals
 
 BIN_EDGES = [i * 0.1 for i in range(10)] + [1.0]
 AUC_FLOOR, ECE_CEILING, AUC_DROP = 0.85, 0.05, 0.95
@@ -28,8 +29,6 @@ def _f1(tp: Column, fp: Column, fn: Column) -> Column:
 
 def score_histogram(df: DataFrame, label: str, score: str, keys: Sequence[str] = ()) -> DataFrame:
     """Positives and negatives per distinct score, with the totals below it."""
-    from emberlake.operators.skew import running_totals
-
     y = F.col(label).cast("bigint")
     slim = df.select(*keys, F.col(score).alias("p"), y.alias("_y")).where(F.col("p").isNotNull())
     return running_totals(slim, "p", {"pos": F.sum("_y"), "neg": F.sum(1 - F.col("_y"))}, keys)
@@ -63,14 +62,12 @@ def evaluate(df: DataFrame, label: str = "y", score: str = "p", keys: Sequence[s
             F.sum(F.when(p >= t, F.col("pos")).otherwise(0)).alias(f"_tp_{name}"),
             F.sum(F.when(p >= t, F.col("neg")).otherwise(0)).alias(f"_fp_{name}"),
         ]
-    total = hist.groupBy(*group).agg(*sums)
-    bins = (
-        hist.withColumn("_bin", score_bin(p))
-        .where(F.col("_bin").isNotNull())
-        .groupBy(*group, "_bin")
-        .agg(F.sum("pos").alias("_bp"), F.sum(F.col("pos") + F.col("neg")).alias("_bn"), F.sum(p * (pos + neg)).alias("_bs"))
-    )
-    gaps = bins.groupBy(*group).agg(F.sum(F.abs(F.col("_bs") - F.col("_bp"))).alias("_gap"))
+    # once per bin, then over the bins: the gap of each bin and all other sums in one pass
+    sums.append(F.sum(p * (pos + neg)).alias("_ps"))
+    names = [f"_{n}" for n in ("area", "ap", "sq", "ll", "pos", "neg")] + [f"_{k}_{c}" for c in cuts for k in ("tp", "fp")]
+    per_bin = hist.withColumn("_bin", score_bin(p)).groupBy(*group, "_bin").agg(*sums)
+    gap = F.when(F.col("_bin").isNotNull(), F.abs(F.col("_ps") - F.col("_pos")))
+    total = per_bin.groupBy(*group).agg(F.sum(gap).alias("_gap"), *[F.sum(c).alias(c) for c in names])
     n = F.col("_pos") + F.col("_neg")
     mixed = F.nullif(F.col("_pos") * F.col("_neg").cast("double"), F.lit(0.0))
 
@@ -95,7 +92,7 @@ def evaluate(df: DataFrame, label: str = "y", score: str = "p", keys: Sequence[s
                 _f1(tp, fp, fn).alias("f1"),
             )
         )
-    out = total.join(gaps, group, "left").select(
+    return total.select(
         *keys,
         (F.col("_area") / mixed).alias("auc_roc"),
         (F.col("_ap") / F.nullif(F.col("_pos").cast("double"), F.lit(0.0))).alias("pr_auc"),
@@ -109,7 +106,6 @@ def evaluate(df: DataFrame, label: str = "y", score: str = "p", keys: Sequence[s
         (F.col("_pos") / n).alias("prevalence"),
         F.array(*by_threshold).alias("thresholds"),
     )
-    return out
 
 
 def calibration_curve(df: DataFrame, label: str = "y", score: str = "p", bins: int = 10) -> DataFrame:

@@ -31,15 +31,18 @@ def salted_join(
     salt_on: Sequence[str],
     how: str = "inner",
     rows_per_salt: int = ROWS_PER_SALT,
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join whose hot keys are split over many tasks.
 
     Rows of ``big`` with a hot key get a salt from a hash of ``salt_on`` (which
     should tell rows of one key apart, and makes retries repeat the same salt);
     the matching rows of ``small`` are repeated once per salt. Other keys keep
-    salt 0 and cost nothing extra. Keys are counted with map-side combine.
+    salt 0 and cost nothing extra. Keys are counted with map-side combine, or taken
+    from ``counts`` (keys and ``_n``) where the caller has a cheaper source.
     """
-    counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    if counts is None:
+        counts = big.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     hot = F.broadcast(hot_keys(counts, keys, rows_per_salt))
     salts = F.coalesce(F.col("_salts"), F.lit(1))
     salt = F.pmod(F.xxhash64(*salt_on), salts).cast("int").alias("_salt")
@@ -69,8 +72,10 @@ def running_totals(
     group = [*keys] if keys else ["_one"]
     base = df if keys else df.withColumn("_one", F.lit(0))
     values = base.groupBy(*group, order).agg(*[expr.alias(name) for name, expr in sums.items()])
+    # every use of ``values`` reads all its columns, so its exchange is built once and reused
     cuts = values.groupBy(*group).agg(
-        F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 10_000).alias("_cuts")
+        F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 10_000).alias("_cuts"),
+        *[F.sum(n).alias(f"{n}_all") for n in sums],
     )
     ranged = (
         values.join(F.broadcast(cuts), group)
@@ -78,14 +83,9 @@ def running_totals(
         .drop("_cuts")
     )
     per_range = ranged.groupBy(*group, "_range").agg(*[F.sum(n).alias(f"_{n}") for n in sums])
-    over_ranges = Window.partitionBy(*group).orderBy("_range")
-    earlier = over_ranges.rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*group)
+    earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_range.select(
-        *group,
-        "_range",
-        *[F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_{n}_off") for n in sums],
-        *[F.sum(f"_{n}").over(whole).alias(f"{n}_all") for n in sums],
+        *group, "_range", *[F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_{n}_off") for n in sums]
     )
     inside = Window.partitionBy(*group, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     placed = ranged.join(F.broadcast(offsets), [*group, "_range"])

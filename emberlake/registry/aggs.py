@@ -80,7 +80,7 @@ _FLAT = f"cell_id, n10, {hr('near10', 6)} AS near10, large10, n30, {hr('near30',
 
 
 def _tiers(d):
-    return FS.tier_summary(d.cells, FS.matched_fires(d.cells, d.fires), AS_OF_YEAR)
+    return FS.cell_tiers(d.cells, d.fires, AS_OF_YEAR)
 
 
 @query("a01_fire_tiers", "tiers", f"SELECT {_FLAT} FROM tiers")

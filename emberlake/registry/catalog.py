@@ -6,7 +6,7 @@ from importlib import import_module
 
 from emberlake.registry.base import ORACLES, QUERIES
 
-MODULES = ["columns", "joins", "aggs"]
+MODULES = ["columns", "joins", "aggs", "windows"]
 
 
 def _load() -> None:

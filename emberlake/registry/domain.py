@@ -281,9 +281,11 @@ class Domain:
 
     @cached_property
     def stats(self) -> DataFrame:
+        """The stored statistics table that the questions about places read."""
         from emberlake.operators.firestats import fire_statistics
+        from emberlake.session import materialize
 
-        return fire_statistics(self.cells, self.fires, AS_OF_YEAR)
+        return materialize(fire_statistics(self.cells, self.fires, AS_OF_YEAR), "fire-stats")
 
 
 URLS = [

@@ -212,7 +212,9 @@ def model_input(df: DataFrame, label: str = "fire") -> DataFrame:
 def forecast_payload(raw: DataFrame, text: str = "payload") -> DataFrame:
     """One JSON document per place to one row per lead day; nulls stay missing."""
     parsed = raw.withColumn("_p", F.from_json(text, FORECAST_PAYLOAD))
-    arrays = [F.col(f"_p.daily.{src}").alias(dst) for src, dst in PAYLOAD_COLUMNS.items()]
+    none = F.array().cast("array<double>")
+    # an absent variable is as long as the others, all missing
+    arrays = [F.coalesce(F.col(f"_p.daily.{src}"), none).alias(dst) for src, dst in PAYLOAD_COLUMNS.items()]
     exploded = parsed.select(*[c for c in raw.columns if c != text], F.posexplode(F.arrays_zip(*arrays)).alias("lead_day", "_d"))
     return exploded.select("*", "_d.*").drop("_d")
 

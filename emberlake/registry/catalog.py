@@ -6,7 +6,7 @@ from importlib import import_module
 
 from emberlake.registry.base import ORACLES, QUERIES
 
-MODULES = ["columns", "joins", "aggs", "windows", "storage", "streams"]
+MODULES = ["columns", "joins", "aggs", "windows", "storage", "streams", "learn", "answers"]
 
 
 def _load() -> None:

@@ -142,6 +142,7 @@ def fire_regime(cells: DataFrame, fires: DataFrame, as_of_year: int, cell_area_h
     """
     unique = keep_first_fire(fires)
     zoned = in_zone_envelope(unique, zone_envelope(cells)).select("bec_zone", "size_ha", "cause")
+    zoned = materialize(zoned, "zoned-fires")  # read for sums, medians and modes
     years = fires.agg(F.greatest(F.lit(as_of_year) - F.min("year"), F.lit(1)).alias("y")).scalar()
     burned = zoned.groupBy("bec_zone").agg(F.sum("size_ha").alias("_burned"))
     middle = group_median(zoned, "size_ha", ["bec_zone"], "_median")

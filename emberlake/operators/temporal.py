@@ -28,12 +28,10 @@ def seed_state(cells: DataFrame, snapshot: DataFrame, key: str = "cell_id") -> D
 
 def _advance(state: Column, day: Column, carry: Sequence[str], round_state: bool) -> Column:
     """One day's struct from the previous day's."""
-    t, h, w, r = (day[c] for c in DRIVERS)
-    month = day["_month"]
     parts = {
-        "ffmc": codes.ffmc(t, h, w, r, state["ffmc"], bound_value),
-        "dmc": codes.dmc(t, h, r, state["dmc"], month, bound_value),
-        "dc": codes.dc(t, r, state["dc"], month, bound_value),
+        "ffmc": codes.next_ffmc(state["ffmc"], day, bound_value),
+        "dmc": codes.next_dmc(state["dmc"], day, bound_value),
+        "dc": codes.next_dc(state["dc"], day, bound_value),
     }
     if round_state:
         parts = {name: F.bround(value, 1) for name, value in parts.items()}
@@ -59,9 +57,11 @@ def fold_codes(
     the first state of a cell. With ``consecutive_from`` an integer ``order`` must
     run n, n+1, ... and the fold stops at the first gap (W03).
 
-    All grouping happens after one exchange on the key. Days are folded inside
-    months and months inside cells, which keeps appending cheap however long the
-    history is.
+    All grouping happens after one exchange on the key, which moves the weather
+    only; what each day does to the codes is worked out behind it in generated code,
+    so the interpreted fold evaluates just the part that depends on the day before.
+    Days are folded inside months and months inside cells, which keeps appending
+    cheap however long the history is.
     """
     month = F.month(order) if month is None else month
     fields = [order, *DRIVERS, *[c for c in carry if c not in DRIVERS and c != order]]
@@ -78,9 +78,11 @@ def fold_codes(
         days = days.join(start, key, "left").withColumn("_start", F.coalesce("_start", start_state()))
     else:
         days = days.withColumn("_start", start_state())
-    inner = F.struct(*fields, "_month")
+    terms = codes.day_terms(*[F.col(c) for c in DRIVERS], F.col("_month"))
+    inner = F.struct(*fields, *codes.TERMS)
     months = (
         days.repartition(key)
+        .withColumns(terms)
         .groupBy(key, "_span", "_part")
         .agg(F.array_sort(F.collect_list(inner)).alias("_days"), F.first("_start").alias("_start"))
     )
@@ -121,16 +123,7 @@ def one_day(weather: DataFrame, state: DataFrame, key: str = "cell_id") -> DataF
     seeded = weather.join(state.select(key, *[F.col(c).alias(f"_{c}") for c in STATE]), key, "left").fillna(
         {f"_{c}": START_CODES[c] for c in STATE}
     )
-    t, h, w, r = (F.col(c) for c in DRIVERS)
-    m = F.month("date")
-    stepped = seeded.withColumns(
-        {
-            "ffmc": codes.ffmc(t, h, w, r, F.col("_ffmc")),
-            "dmc": codes.dmc(t, h, r, F.col("_dmc"), m),
-            "dc": codes.dc(t, r, F.col("_dc"), m),
-        }
-    ).drop("_ffmc", "_dmc", "_dc")
-    return codes.spread_columns(stepped)
+    return codes.day_columns(seeded, {c: F.col(f"_{c}") for c in STATE}, F.month("date")).drop(*[f"_{c}" for c in STATE])
 
 
 def forecast_roll(

@@ -318,11 +318,8 @@ _ONE = S.with_spread(S.one_step(_DAYS, "cell_id, date, t, h, w"))
 
 
 def _one_day(d):
-    f0, p0, d0 = F.dayofmonth("date") * 0.8 + 75, F.month("date") * 7.5, F.dayofmonth("date") * 20.0
-    t, h, w, r, m = (F.col(c) for c in ("temperature_c", "rh_pct", "wind_kmh", "precip_24h_mm", "mon"))
-    days = d.weather.withColumn("mon", F.month("date"))
-    coded = days.withColumns({"ffmc": X.ffmc(t, h, w, r, f0), "dmc": X.dmc(t, h, r, p0, m), "dc": X.dc(t, r, d0, m)})
-    return X.spread_columns(coded)
+    before = {"ffmc": F.dayofmonth("date") * 0.8 + 75, "dmc": F.month("date") * 7.5, "dc": F.dayofmonth("date") * 20.0}
+    return X.day_columns(d.weather, before, F.month("date"))
 
 
 def _code_query(name: str, code: str):

@@ -57,13 +57,13 @@ def running_totals(
     order: str,
     sums: Mapping[str, Column],
     keys: Sequence[str] = (),
-    buckets: int = 64,
+    side: int = 8,
 ) -> DataFrame:
     """Totals strictly below each distinct ``order`` value, per key, exactly.
 
     Returns one row per (keys, order) with ``<name>``, ``<name>_before`` and
     ``<name>_all`` for every entry of ``sums``. ``keys`` must come from a
-    bounded domain (zones, years): what is broadcast has ``buckets`` rows per key.
+    bounded domain (zones, years): what is broadcast has ``side`` squared rows per key.
 
     Rows are first combined per distinct value; the values of a key are then cut
     into ranges of similar size, totals are accumulated over the few ranges, and
@@ -74,14 +74,15 @@ def running_totals(
     values = base.groupBy(*group, order).agg(*[expr.alias(name) for name, expr in sums.items()])
     # every use of ``values`` reads all its columns, so its exchange is built once and reused
     cuts = values.groupBy(*group).agg(
-        F.percentile_approx(order, [i / buckets for i in range(1, buckets)], 10_000).alias("_cuts"),
+        F.percentile_approx(order, [i / side**2 for i in range(1, side**2)], 10_000).alias("_cuts"),
         *[F.sum(n).alias(f"{n}_all") for n in sums],
     )
-    ranged = (
-        values.join(F.broadcast(cuts), group)
-        .withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col(order))))
-        .drop("_cuts")
-    )
+    # two short rounds of comparisons find the range: first the block of ``side`` cuts, then the place in it
+    above = lambda at: F.when(F.col("_cuts")[at] < F.col(order), 1).otherwise(0)
+    coarse = sum((above(side * i - 1) for i in range(2, side)), above(side - 1))
+    fine = sum((above(F.col("_block") * side + j) for j in range(1, side - 1)), above(F.col("_block") * side))
+    cut = values.join(F.broadcast(cuts), group).withColumn("_block", coarse)
+    ranged = cut.withColumn("_range", F.col("_block") * side + fine).drop("_cuts", "_block")
     per_range = ranged.groupBy(*group, "_range").agg(*[F.sum(n).alias(f"_{n}") for n in sums])
     earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_range.select(
@@ -99,9 +100,9 @@ def running_totals(
     return out if keys else out.drop("_one")
 
 
-def group_median(df: DataFrame, value: str, keys: Sequence[str], name: str, buckets: int = 64) -> DataFrame:
+def group_median(df: DataFrame, value: str, keys: Sequence[str], name: str, side: int = 8) -> DataFrame:
     """Exact median per key of a bounded domain, without holding a key in one task."""
-    ranked = running_totals(df.where(F.col(value).isNotNull()), value, {"n": F.count(F.lit(1))}, keys, buckets)
+    ranked = running_totals(df.where(F.col(value).isNotNull()), value, {"n": F.count(F.lit(1))}, keys, side)
     low, high = F.floor((F.col("n_all") - 1) / 2), F.floor(F.col("n_all") / 2)
     first, last = F.col("n_before"), F.col("n_before") + F.col("n") - 1
     middle = ranked.where((first <= high) & (last >= low))

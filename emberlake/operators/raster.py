@@ -87,10 +87,10 @@ def channel_stats(pixels: DataFrame, land: DataFrame, channels: Sequence[str], l
 
 def normalise(pixels: DataFrame, stats: DataFrame, channels: Sequence[str]) -> DataFrame:
     """Z-scores; the statistics are one row per channel of the fixed list."""
-    wide = stats.groupBy().pivot("channel", list(channels)).agg(F.first("mean").alias("m"), F.first("std").alias("s"))
-    joined = pixels.withColumn("_one", F.lit(0)).join(F.broadcast(wide.withColumn("_one", F.lit(0))), "_one").drop("_one")
-    scaled = {c: (F.col(c) - F.col(f"{c}_m")) / F.col(f"{c}_s") for c in channels}
-    return joined.withColumns(scaled).drop(*[f"{c}_{x}" for c in channels for x in "ms"])
+    pair = lambda c: F.max(F.when(F.col("channel") == c, F.struct("mean", "std"))).alias(c)
+    of = stats.agg(F.struct(*[pair(c) for c in channels])).scalar()
+    known = pixels.withColumn("_s", of)
+    return known.withColumns({c: (F.col(c) - F.col(f"_s.{c}.mean")) / F.col(f"_s.{c}.std") for c in channels}).drop("_s")
 
 
 def annual_composites(scenes: DataFrame) -> DataFrame:

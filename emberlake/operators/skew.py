@@ -69,35 +69,38 @@ def running_totals(
     into ranges of similar size, totals are accumulated over the few ranges, and
     a window runs inside one range only. No task ever holds a whole key.
     """
-    group = [*keys] if keys else ["_one"]
-    base = df if keys else df.withColumn("_one", F.lit(0))
-    values = base.groupBy(*group, order).agg(*[expr.alias(name) for name, expr in sums.items()])
+    group = [*keys]
+    values = df.groupBy(*group, order).agg(*[expr.alias(name) for name, expr in sums.items()])
     # every use of ``values`` reads all its columns, so its exchange is built once and reused
-    cuts = values.groupBy(*group).agg(
+    whole = [
         F.percentile_approx(order, [i / side**2 for i in range(1, side**2)], 10_000).alias("_cuts"),
         *[F.sum(n).alias(f"{n}_all") for n in sums],
-    )
+    ]
+    if keys:
+        cut = values.join(F.broadcast(values.groupBy(*group).agg(*whole)), group)
+    else:
+        cut = values.withColumn("_whole", values.agg(F.struct(*whole)).scalar()).select(*values.columns, "_whole.*")
     # two short rounds of comparisons find the range: first the block of ``side`` cuts, then the place in it
     above = lambda at: F.when(F.col("_cuts")[at] < F.col(order), 1).otherwise(0)
     coarse = sum((above(side * i - 1) for i in range(2, side)), above(side - 1))
     fine = sum((above(F.col("_block") * side + j) for j in range(1, side - 1)), above(F.col("_block") * side))
-    cut = values.join(F.broadcast(cuts), group).withColumn("_block", coarse)
+    cut = cut.withColumn("_block", coarse)
     ranged = cut.withColumn("_range", F.col("_block") * side + fine).drop("_cuts", "_block")
     per_range = ranged.groupBy(*group, "_range").agg(*[F.sum(n).alias(f"_{n}") for n in sums])
-    earlier = Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    of_key = Window.partitionBy(*group) if keys else Window.partitionBy(F.lit(0))
+    earlier = of_key.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_range.select(
         *group, "_range", *[F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_{n}_off") for n in sums]
     )
     inside = Window.partitionBy(*group, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     placed = ranged.join(F.broadcast(offsets), [*group, "_range"])
-    out = placed.select(
+    return placed.select(
         *group,
         order,
         *[F.col(n) for n in sums],
         *[(F.coalesce(F.sum(n).over(inside), F.lit(0)) + F.col(f"_{n}_off")).alias(f"{n}_before") for n in sums],
         *[F.col(f"{n}_all") for n in sums],
     )
-    return out if keys else out.drop("_one")
 
 
 def group_median(df: DataFrame, value: str, keys: Sequence[str], name: str, side: int = 8) -> DataFrame:

@@ -70,7 +70,15 @@ def _(d):
     return rounded(got, {"temperature_c": 6, "wind_kmh": 6})
 
 
-@query("t04_cooled_alerts")
+cte("exceeded", "", "SELECT user_id AS alert_id, ts, value / 500.0::DOUBLE AS score FROM events WHERE value / 500.0::DOUBLE >= (user_id % 10) / 50.0::DOUBLE")
+cte(
+    "firings",
+    "exceeded",
+    "(SELECT alert_id, min(ts) AS ts FROM exceeded GROUP BY 1) UNION ALL (SELECT e.alert_id, min(e.ts) FROM firings f JOIN exceeded e ON e.alert_id = f.alert_id AND e.ts >= f.ts + INTERVAL 24 HOUR GROUP BY 1)",
+)
+
+
+@query("t04_cooled_alerts", "firings exceeded", "SELECT alert_id, ts::VARCHAR AS ts, min(score) AS score FROM firings JOIN exceeded USING (alert_id, ts) GROUP BY 1, 2", recursive=True)
 def _(d):
     readings = _events(d).select(
         F.col("user_id").alias("alert_id"), "ts", (F.col("value") / 500.0).alias("score"), (F.col("user_id") % 10 / 50.0).alias("threshold")

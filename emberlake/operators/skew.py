@@ -7,21 +7,21 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_HOT_KEYS = 1000
+MOST_HOT_KEYS = 100_000
 ROWS_PER_SALT = 250_000
-MAX_SALTS = 10_000
 
 
 def hot_keys(counts: DataFrame, keys: Sequence[str], rows_per_salt: int = ROWS_PER_SALT) -> DataFrame:
-    """The most frequent keys and how many salts each gets; ``counts`` has ``_n`` rows per key.
+    """Keys with more than ``rows_per_salt`` rows and how many salts each gets; ``counts`` has ``_n`` rows per key.
 
-    The result has at most ``MAX_HOT_KEYS`` rows by its limit, so it may be
-    broadcast whatever the size of the data. A key left out owns less than a
-    thousandth of the rows.
+    Above ``rows_per_salt * MOST_HOT_KEYS`` rows in all, the step grows with the table, so
+    fewer than ``MOST_HOT_KEYS`` keys can exceed it and the result may be broadcast at any
+    size. No key is left out: one below the step fits a task as it is.
     """
-    salts = F.least(F.ceil(F.col("_n") / rows_per_salt), F.lit(MAX_SALTS)).cast("int")
-    many = counts.where(F.col("_n") > rows_per_salt).select(*keys, "_n", salts.alias("_salts"))
-    return many.orderBy(F.desc("_n")).limit(MAX_HOT_KEYS).drop("_n")
+    total = counts.agg(F.sum("_n")).scalar()
+    step = F.greatest(F.lit(rows_per_salt), F.ceil(total / MOST_HOT_KEYS))
+    hot = counts.where(F.col("_n") > step)
+    return hot.select(*keys, F.ceil(F.col("_n") / step).cast("int").alias("_salts"))
 
 
 def salted_join(

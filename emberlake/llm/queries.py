@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlake.llm import exact_dedup, secret_ledger, url_alias
+from emberlake.llm import exact_dedup, lsh_forest, mixing, piece_chunks, secret_ledger, url_alias
 from emberlake.llm.common import table
 from emberlake.session import fresh_path
 
@@ -99,11 +99,28 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return url_alias.judge(table(spark, folder, "pages"))
 
 
+@query("op4_piece_chunks")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    import public_tokenizers
+
+    return piece_chunks.encode_digests(table(spark, folder, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query("op7_source_mix")
+def op7(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixed_sizes(table(spark, folder, "documents"))
+
+
 @query("op5_exact_dedup", SAME_TEXT)
 def op5(spark: SparkSession, folder: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, folder, "documents"))
 
 
+@query("op6_lsh_forest")
+def op6(spark: SparkSession, folder: str) -> DataFrame:
+    return lsh_forest.near_groups(table(spark, folder, "documents"), lsh_forest.Forest(words=2))
+
+
 @query("op10_secret_ledger", _secrets_sql())
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return secret_ledger.scan_documents(table(spark, folder, "documents"), fresh_path(spark, "secret-ledger"))

@@ -4,25 +4,52 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from emberlake.llm import exact_dedup
+from emberlake.llm import exact_dedup, lsh_forest, mil_toxicity, mixing, piece_chunks
+from emberlake.llm.common import table
 from emberlake.session import materialize
 
 
-def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents scored toxic go; the model learns from the labelled rows of ``docs``."""
+    return mil_toxicity.clean_documents(docs, table(spark, sf_dir, "labels"))
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays."""
     return exact_dedup.keep_one(docs)
 
 
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five words, 0.8) stays."""
+    return lsh_forest.keep_one(docs)
+
+
+def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix of the sources: a row for every pass over a document, with the words taken in that pass."""
+    return mixing.mixed_documents(docs)
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of the mix."""
+    import public_tokenizers
+
+    return piece_chunks.encode_digests(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
 STAGES = [
-    ("exact dedup", dedup_stage),
+    ("toxicity", toxicity_stage),
+    ("exact dedup", exact_stage),
+    ("near dedup", near_stage),
+    ("source mix", mix_stage),
+    ("tokens", token_stage),
 ]
-#: Trained models, near duplicates and tokens have no SQL form; the tests hold the stages against brute force.
+#: Trained models, near-duplicates and tokens have no SQL form; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages in order over ``documents``, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)

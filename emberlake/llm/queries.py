@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from emberlake.llm import exact_dedup, lsh_forest, mixing, piece_chunks, secret_ledger, url_alias
+from emberlake.llm import exact_dedup, lsh_forest, mil_toxicity, mixing, piece_chunks, pu_quality, risk_rules, secret_ledger, url_alias, warc_revisit
 from emberlake.llm.common import table
 from emberlake.session import fresh_path
 
@@ -61,6 +62,28 @@ own AS (SELECT *, {JUDGED} AS rule FROM asked)
 SELECT page_id, host, path, rule, coalesce({VERDICT}, d.verdict, 'allow') AS verdict, g.alias_of
 FROM own LEFT JOIN groups g USING (node) LEFT JOIN decided d ON g.alias_of = d.alias_of
 """
+REVISITS = f"""
+WITH p AS (SELECT *, {NODE.format(u="url")} AS node, coalesce(length(html), 0) AS size,
+    '"' || substr(sha256(coalesce(html, '')), 1, 16) || '"' AS tag FROM pages),
+s AS (SELECT *, regexp_replace(node, '^http://', 'https://') AS asked FROM p),
+k AS (SELECT *, regexp_replace(regexp_replace(asked, '[?].*$', '', 's'), '([^:/])/$', '\\1') AS stem,
+    list_filter(string_split(regexp_extract(asked, '[?](.*)$', 1, 's'), '&'),
+        lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[a-z]+|ref|fbclid|gclid)(=|$)')) AS parts FROM s),
+u AS (SELECT *, CASE WHEN len(parts) > 0 THEN stem || '?' || array_to_string(parts, '&') ELSE stem END AS url_key FROM k),
+r AS (SELECT 2 * page_id AS record_id, url_key, page_id AS "at", true AS full_, tag, size, html FROM u
+    UNION ALL SELECT 2 * page_id + 1, url_key, page_id + 1 + size % 5000, false, tag, size, NULL FROM u),
+hits AS (SELECT *, last_value(CASE WHEN full_ THEN {{'id': record_id, 'tag': tag, 'size': size, 'sha': sha256(coalesce(html, ''))}} END IGNORE NULLS)
+    OVER (PARTITION BY url_key ORDER BY "at", record_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS hit FROM r),
+o AS (SELECT *, CASE WHEN full_ THEN 'full' WHEN hit IS NULL THEN 'orphan' WHEN hit.tag = tag THEN 'resolved' ELSE 'changed' END AS outcome FROM hits)
+SELECT record_id, url_key, "at", outcome,
+    CASE outcome WHEN 'full' THEN record_id WHEN 'resolved' THEN hit.id ELSE -1 END AS response_id,
+    CASE outcome WHEN 'full' THEN sha256(coalesce(html, '')) WHEN 'resolved' THEN hit.sha END AS payload_sha256,
+    'age: ' || CASE WHEN full_ THEN 0 ELSE size % 100 END || chr(10) || 'content-length: ' ||
+    CASE outcome WHEN 'full' THEN size WHEN 'resolved' THEN hit.size ELSE 0 END || chr(10) ||
+    CASE WHEN outcome IN ('full', 'resolved') THEN 'content-type: text/html' || chr(10) ELSE '' END ||
+    'etag: ' || CASE WHEN full_ THEN '' ELSE 'W/' END || tag AS headers
+FROM o
+"""
 SAME_TEXT = """
 WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]+', ' ', 'g') AS norm FROM documents)
 SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
@@ -99,6 +122,27 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
     return url_alias.judge(table(spark, folder, "pages"))
 
 
+@query("op2_pu_quality")
+def op2(spark: SparkSession, folder: str) -> DataFrame:
+    return pu_quality.scored_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op3_mil_toxicity")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    return mil_toxicity.scored_toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op8_risk_rules")
+def op8(spark: SparkSession, folder: str) -> DataFrame:
+    return risk_rules.judged(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+@query("op9_warc_revisits", REVISITS)
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    found = warc_revisit.resolve(warc_revisit.captures(table(spark, folder, "pages")))
+    return found.withColumns({"headers": warc_revisit.header_text(found["headers"]), "response_id": F.coalesce("response_id", F.lit(-1))})
+
+
 @query("op4_piece_chunks")
 def op4(spark: SparkSession, folder: str) -> DataFrame:
     import public_tokenizers

@@ -76,7 +76,8 @@ def exact_groups(docs: DataFrame, digest: Callable[[Column], Column] = _sha256)
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``exact_groups`` keeps, with all their columns."""
     kept = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    rows = docs.withColumns({"_id": F.col("doc_id"), "_sha": F.sha2(normalised(F.col("text")), 256)})
-    joined = rows.join(kept, rows["_id"].eqNullSafe(kept["_id"]) & (rows["_sha"] == kept["_sha"]), "left_semi")
-    once = F.row_number().over(Window.partitionBy("_sha", "_id").orderBy(F.lit(0)))
-    return joined.withColumn("_nth", once).where("_nth = 1").select(*docs.columns)
+    # all columns travel in one, so none can clash with those made here
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_key"), F.sha2(normalised(F.col("text")), 256).alias("_sha"))
+    joined = rows.join(kept, rows["_key"].eqNullSafe(kept["_id"]) & (rows["_sha"] == kept["_sha"]), "left_semi")
+    once = F.row_number().over(Window.partitionBy("_sha", "_key").orderBy(F.lit(0)))
+    return joined.withColumn("_nth", once).where("_nth = 1").select("_row.*")

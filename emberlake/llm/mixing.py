@@ -244,18 +244,21 @@ def mixed_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     # as many parts as the document has blocks
     row = F.struct(F.col("from").alias("from"), F.col("_n").alias("n"))
     passes = cut.groupBy("doc_id", "mark", "size", "at", "epoch").agg(F.sort_array(F.collect_list(row)).alias("_parts"), F.sum("_n").alias("_words"))
-    passes = passes.select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "size", "_parts", "_words")
-    keyed = docs.withColumns({"_id": F.col("doc_id"), "_mark": F.xxhash64("doc_id", "text")})
+    passes = passes.select(F.col("mark").alias("_mark"), F.col("size").alias("_size"), "_parts", "_words")
+    # all columns travel in one, so none can clash with those made here
+    keyed = docs.select(F.struct("*").alias("_row"), F.xxhash64("doc_id", "text").alias("_mark"))
     # rows that are equal in id and text are one row here; each has its own passes
-    once = F.row_number().over(Window.partitionBy("_mark").orderBy("_id"))
-    single = keyed.withColumn("_nth", once).where("_nth = 1").drop("_nth", "_id")
-    words = F.regexp_extract_all("text", F.lit(WORD), F.lit(0))
+    once = F.row_number().over(Window.partitionBy("_mark").orderBy(F.lit(0)))
+    single = keyed.withColumn("_nth", once).where("_nth = 1")
+    whole = F.col("_row.text")
+    words = F.regexp_extract_all(whole, F.lit(WORD), F.lit(0))
     parts = F.transform("_parts", lambda p: F.array_join(F.slice(words, (p["from"] + 1).cast("int"), p["n"].cast("int")), " "))
-    text = F.when(F.col("_words") == F.col("size"), F.col("text")).otherwise(F.array_join(parts, " "))
-    out = single.join(passes.drop("_id"), "_mark").withColumn("text", text)
+    text = F.when(F.col("_words") == F.col("_size"), whole).otherwise(F.array_join(parts, " "))
+    out = single.join(passes, "_mark").select("_row", text.alias("_text"))
+    made = {"text": F.col("_text")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        made["n_chars"] = F.length("_text").cast(docs.schema["n_chars"].dataType)
+    return out.select(*[made.get(c, F.col("_row")[c]).alias(c) for c in docs.columns])
 
 
 def packed_blocks(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:

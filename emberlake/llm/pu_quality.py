@@ -104,7 +104,7 @@ def fit_rows(rows: list[tuple[bool, np.ndarray, np.ndarray]], prior: float, s: S
     Where the part under the maximum falls below zero in a batch, the step goes against its
     gradient, which undoes the overfitting that made it negative.
     """
-    positive = np.array([r[0] for r in rows])
+    positive = np.array([r[0] for r in rows], dtype=bool)
     model = Model(np.zeros(s.width), 0.0, prior)
     pos, unl = np.flatnonzero(positive), np.flatnonzero(~positive)
     if not len(pos) or not len(unl):

@@ -31,8 +31,9 @@ class Forest:
     trees: int = 24
     depth: int = 10  # values in a tree's label
     least_depth: int = 4  # of the common prefix of candidates
-    window: int = 24  # neighbours looked at in a region that has more at the least depth
+    window: int = 48  # neighbours looked at in a region that has more at the least depth
     of_one: int = 8  # of them, rows of one component
+    nearest: int = 4  # of them, those with the nearest sketches are candidates in a tree
     bits: int = 30  # of the 128 sketch bits in which candidates may differ
 
     def values(self) -> np.ndarray:
@@ -139,13 +140,13 @@ def _common(a: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.where(same.all(axis=1), a.shape[1], np.argmin(same, axis=1))])
 
 
-def _neighbours(rows: pd.DataFrame, forest: Forest, window: int, split: np.ndarray | None = None) -> tuple[list, list]:
+def _neighbours(rows: pd.DataFrame, forest: Forest, window: int, nearest: int, split: np.ndarray | None = None) -> tuple[list, list]:
     """Candidate pairs among rows in the forest's order.
 
     A row looks back, over the stretch that shares ``least_depth`` values with it, at the
     nearest rows of other components: those with the longest common prefixes. Sizes and
-    sketches rule out what can't be a link. ``split``: only pairs that lie in different
-    partitions.
+    sketches rule out what can't be a link; of the others, the ``nearest`` by sketch are
+    taken. ``split``: only pairs that lie in different partitions.
     """
     n = len(rows)
     if n < 2:
@@ -163,14 +164,18 @@ def _neighbours(rows: pd.DataFrame, forest: Forest, window: int, split: np.ndarr
     for i in np.flatnonzero(np.concatenate([shared[1:] >= forest.least_depth, [False]]) | (shared >= forest.least_depth)).tolist():
         if shared[i] < forest.least_depth:
             recent = []
-        mine = comp[i]
+        mine, seen = comp[i], []
         for j in reversed(recent):
             if comp[j] == mine or (split is not None and split[j] == split[i]):
                 continue
             a, b = (size[i], size[j]) if size[i] < size[j] else (size[j], size[i])
-            if 100 * a >= h * b and ((s0[i] ^ s0[j]) & m64).bit_count() + ((s1[i] ^ s1[j]) & m64).bit_count() <= forest.bits:
-                left.append(cls[i])
-                right.append(cls[j])
+            if 100 * a >= h * b:
+                far = ((s0[i] ^ s0[j]) & m64).bit_count() + ((s1[i] ^ s1[j]) & m64).bit_count()
+                if far <= forest.bits:
+                    seen.append((far, j))
+        for _, j in sorted(seen)[:nearest] if len(seen) > nearest else seen:
+            left.append(cls[i])
+            right.append(cls[j])
         # of one component its last rows stay in view: they are linked to the others already
         same = [k for k in recent if comp[k] == mine]
         if len(same) >= forest.of_one:
@@ -181,7 +186,7 @@ def _neighbours(rows: pd.DataFrame, forest: Forest, window: int, split: np.ndarr
     return left, right
 
 
-def _swept(forest: Forest, window: int):
+def _swept(forest: Forest, window: int, nearest: int):
     """Pairs within each partition (``kind`` 0), and its first and last rows for the seams (``kind`` 1)."""
 
     def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -196,7 +201,7 @@ def _swept(forest: Forest, window: int):
             seen += len(batch)
             rows = batch if carry is None else pd.concat([carry, batch], ignore_index=True)
             # rows carried over were paired among themselves; pairs that come twice are made distinct later
-            a, b = _neighbours(rows, forest, window)
+            a, b = _neighbours(rows, forest, window, nearest)
             yield pd.DataFrame({"kind": 0, "part": part, "a": a, "b": b})
             carry = rows.iloc[-window:]
             late = batch.iloc[first:]
@@ -213,16 +218,16 @@ def _swept(forest: Forest, window: int):
     return aligned
 
 
-def _stitched(forest: Forest, window: int):
+def _stitched(forest: Forest, window: int, nearest: int):
     def stitch(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["tree", "label", "cls"], kind="stable").reset_index(drop=True)
-        a, b = _neighbours(rows, forest, 2 * window, rows["part"].to_numpy())
+        a, b = _neighbours(rows, forest, 2 * window, nearest, rows["part"].to_numpy())
         return pd.DataFrame({"a": a, "b": b})
 
     return stitch
 
 
-def candidates(nodes: DataFrame, forest: Forest, trees: range, window: int) -> DataFrame:
+def candidates(nodes: DataFrame, forest: Forest, trees: range, window: int, nearest: int) -> DataFrame:
     """Distinct candidate pairs ``a, b`` of ``nodes`` (``cls, comp, n, values, s0, s1``) over some of the trees.
 
     All trees are one table, sorted by tree, label and class over range partitions, so a
@@ -236,10 +241,10 @@ def candidates(nodes: DataFrame, forest: Forest, trees: range, window: int) -> D
     ordered = nodes.mapInPandas(_labels(forest, trees), row).repartitionByRange("tree", "label", "cls").sortWithinPartitions("tree", "label", "cls")
     shape = f"kind int, part int, a {kind}, b {kind}, tree int, label binary, cls {kind}, comp {kind}, n int, s0 long, s1 long"
     path = fresh_path(spark, "forest")
-    ordered.select("tree", "label", "cls", "comp", "n", "s0", "s1").mapInPandas(_swept(forest, window), shape).write.partitionBy("kind").parquet(path)
+    ordered.select("tree", "label", "cls", "comp", "n", "s0", "s1").mapInPandas(_swept(forest, window, nearest), shape).write.partitionBy("kind").parquet(path)
     inner = spark.read.schema(shape).parquet(path).where("kind = 0").select("a", "b")
     ends = spark.read.schema(shape).parquet(path).where("kind = 1").drop("kind", "a", "b")
-    seams = ends.groupBy().applyInPandas(_stitched(forest, window), f"a {kind}, b {kind}")
+    seams = ends.groupBy().applyInPandas(_stitched(forest, window, nearest), f"a {kind}, b {kind}")
     pairs = inner.union(seams).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     return pairs.where("a <> b").distinct()
 
@@ -268,7 +273,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, forest: Forest) -> DataFrame:
                 yield pd.DataFrame({"id": batch["doc_id"], "x": [s.tobytes() for s in _sets_of(batch, forest.words)]})
 
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    known = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInPandas(sets, f"id {kind}, x binary")
+    known = docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id", "left_semi").mapInPandas(sets, f"id {kind}, x binary")
     known = materialize(known, "forest-sets")
     first = known.withColumnRenamed("id", "a")
     second = known.select(F.col("id").alias("b"), F.col("x").alias("y"))
@@ -303,11 +308,11 @@ def near_groups(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     classes = feats.where("digest is not null").groupBy("digest", "n", "values", "s0", "s1").agg(F.min("doc_id").alias("cls"))
     classes = materialize(classes, "forest-classes")
     nodes = classes.where("cls is not null").select("cls", F.col("cls").alias("comp"), "n", "values", "s0", "s1")
-    few = max(1, forest.trees // 8)
-    links = materialize(confirmed(materialize(candidates(nodes, forest, range(few), 1), "forest-pairs"), docs, forest), "forest-links")
+    few = max(1, forest.trees // 3)
+    links = materialize(confirmed(materialize(candidates(nodes, forest, range(few), 8, 1), "forest-pairs"), docs, forest), "forest-links")
     groups = materialize(components(links), "forest-groups").withColumnRenamed("node", "cls")
     placed = nodes.drop("comp").join(groups, "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
-    more = confirmed(materialize(candidates(placed, forest, range(forest.trees), forest.window), "forest-pairs"), docs, forest)
+    more = confirmed(materialize(candidates(placed, forest, range(forest.trees), forest.window, forest.nearest), "forest-pairs"), docs, forest)
     final = components(groups.select(F.col("cls").alias("a"), F.col("component").alias("b")).union(more))
     named = classes.select("digest", "cls").join(final.withColumnRenamed("node", "cls"), "cls", "left")
     facts = named.select("digest", F.coalesce("component", "cls").alias("_component"))
@@ -321,4 +326,5 @@ def near_groups(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
 def keep_one(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     """The rows of ``docs`` that ``near_groups`` keeps, with all their columns."""
     kept = near_groups(docs, forest).where("kept").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_id"]), "left_semi")
+    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").alias("_key"))
+    return rows.join(kept, rows["_key"].eqNullSafe(kept["_id"]), "left_semi").select("_row.*")

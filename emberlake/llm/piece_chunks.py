@@ -6,22 +6,20 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlake.llm.common import by_value
-from emberlake.session import fresh_path
 
 by_value(__name__)
 
 MARK = "▁"
 #: Markers and the word behind them: where a chunk ends, no piece goes on.
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
-#: Characters of text that are coded together: one block's texts and chunks are in memory at once.
+#: Characters of text that are chunked together, and distinct chunks that a task keeps from block to block.
 BLOCK_CHARS = 4_000_000
+MOST_CHUNKS = 300_000
 
 
 def marked(text: str | None) -> list[str]:
@@ -41,84 +39,53 @@ def check_model(model: str) -> None:
         raise ValueError("the model doesn't keep its spaces")
 
 
-def _coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Texts as codes into the chunk list of their block. ``kind`` 0: a chunk and its code; 1: a document and its codes."""
-    task = TaskContext.get().partitionId()
-    blocks, rows, texts, size = 0, [], [], 0
-
-    def block() -> pd.DataFrame:
-        codes: dict[str, int] = {}
-        coded = [np.array([codes.setdefault(c, len(codes)) for c in marked(t)], dtype=np.int32).tobytes() for t in texts]
-        n, m = len(codes), len(coded)
-        return pd.DataFrame({
-            "kind": np.repeat(np.array([0, 1], dtype=np.int32), [n, m]), "block": f"{task}-{blocks}", "row": pd.array([*codes.values(), *[None] * m], dtype="Int32"),
-            "chunk": [*codes, *[None] * m], "doc_id": pd.Series([*[None] * n, *rows], dtype=object), "codes": [*[None] * n, *coded],
-        })
-
-    for batch in batches:
-        for doc, text in zip(batch["doc_id"], batch["text"], strict=True):
-            rows.append(None if pd.isna(doc) else doc)
-            texts.append(text)
-            size += len(text or "")
-            if size >= BLOCK_CHARS:
-                yield block()
-                blocks, rows, texts, size = blocks + 1, [], [], 0
-    if rows:
-        yield block()
-
-
-def _segmenter(model: str):
-    def segment(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+class ChunkTable:
+    """Distinct chunks and what they are segmented into; ``fill`` segments those that are new, each once."""
+
+    def __init__(self, model: str) -> None:
         import sentencepiece
 
-        sp = sentencepiece.SentencePieceProcessor(model_file=model)
-        lone = [sp.piece_to_id(MARK)]
-        for batch in batches:
-            chunks = batch["chunk"].tolist()
-            # the encoder puts one marker before a text by itself, and gives nothing for an empty one
-            ids = [lone if c == MARK else i for c, i in zip(chunks, sp.encode([c[1:] for c in chunks], num_threads=1), strict=True)]
-            yield pd.DataFrame({
-                "chunk": chunks, "n": [len(i) for i in ids], "ids": [",".join(map(str, i)) for i in ids], "decoded": [" " + t for t in sp.decode(ids, num_threads=1)],
-            })
-
-    return segment
-
-
-def _joined(docs: pd.DataFrame, chunks: pd.DataFrame) -> pd.DataFrame:
-    """The documents of one block, put together from its chunks by position."""
-    order = chunks.sort_values("row")
-    ids, decoded, n = order["ids"].tolist(), order["decoded"].tolist(), order["n"].to_numpy()
-    counts, tokens, texts = [], [], []
-    for raw in docs["codes"]:
-        codes = np.frombuffer(raw, dtype=np.int32)
-        places = codes.tolist()
-        counts.append(int(n[codes].sum()) if places else 0)
-        tokens.append(hashlib.sha256(",".join([ids[c] for c in places]).encode()).hexdigest())
-        # decoding drops the marker that stands for no space
-        texts.append(hashlib.sha256("".join([decoded[c] for c in places])[1:].encode()).hexdigest())
-    return pd.DataFrame({"doc_id": docs["doc_id"].astype(object).where(docs["doc_id"].notna(), None), "n_tokens": counts, "ids_sha256": tokens, "decoded_sha256": texts})
-
-
-def _listed(docs: pd.DataFrame, chunks: pd.DataFrame) -> pd.DataFrame:
-    order = chunks.sort_values("row")
-    ids = [[int(x) for x in s.split(",")] for s in order["ids"]]
-    rows = [[i for c in np.frombuffer(raw, dtype=np.int32).tolist() for i in ids[c]] for raw in docs["codes"]]
-    return pd.DataFrame({"doc_id": docs["doc_id"].astype(object).where(docs["doc_id"].notna(), None), "ids": rows})
-
-
-def _by_block(docs: DataFrame, model: str, join, outputs: str) -> DataFrame:
+        self.sp = sentencepiece.SentencePieceProcessor(model_file=model)
+        self.known: dict[str, tuple[str, int, str]] = {}
+
+    def fill(self, texts: list[list[str]]) -> None:
+        if len(self.known) > MOST_CHUNKS:
+            self.known.clear()
+        new = list({c for t in texts for c in t} - self.known.keys())
+        # the encoder puts one marker before a text by itself, and gives nothing for an empty one
+        ids = [[self.sp.piece_to_id(MARK)] if c == MARK else i for c, i in zip(new, self.sp.encode([c[1:] for c in new], num_threads=1), strict=True)]
+        for chunk, i, text in zip(new, ids, self.sp.decode(ids, num_threads=1), strict=True):
+            self.known[chunk] = ",".join(map(str, i)), len(i), " " + text
+
+
+def _per_text(docs: DataFrame, model: str, row, names: list[str], outputs: str) -> DataFrame:
     check_model(model)
-    spark = docs.sparkSession
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    shape = f"kind int, block string, row int, chunk string, doc_id {id_type}, codes binary"
-    path = fresh_path(spark, "chunk-codes")
-    docs.select("doc_id", "text").mapInPandas(_coded, shape).write.partitionBy("kind").parquet(path)
-    kind = lambda k: spark.read.schema(shape).parquet(path).where(F.col("kind") == k)
-    uses = kind(0).select("block", "row", "chunk")
-    segmented = uses.select("chunk").distinct().mapInPandas(_segmenter(model), "chunk string, n int, ids string, decoded string")
-    chunks = uses.join(segmented, "chunk").select("block", "row", "n", "ids", "decoded")
-    texts = kind(1).select("block", "doc_id", "codes")
-    return texts.groupBy("block").cogroup(chunks.groupBy("block")).applyInPandas(join, f"doc_id {id_type}, {outputs}")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        table = ChunkTable(model)
+        for batch in batches:
+            at, size = 0, 0
+            texts = batch["text"].tolist()
+            ids = batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None).tolist()
+            for i, text in enumerate(texts):
+                size += len(text or "")
+                if size >= BLOCK_CHARS or i == len(texts) - 1:
+                    chunks = [marked(t) for t in texts[at : i + 1]]
+                    table.fill(chunks)
+                    # by position: each chunk's entry in the order of the text
+                    rows = [row([table.known[c] for c in cs]) for cs in chunks]
+                    yield pd.DataFrame([(d, *r) for d, r in zip(ids[at : i + 1], rows, strict=True)], columns=["doc_id", *names])
+                    at, size = i + 1, 0
+
+    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {id_type}, {outputs}")
+
+
+def _digests(entries: list[tuple[str, int, str]]) -> tuple[int, str, str]:
+    ids = ",".join([e[0] for e in entries])
+    # decoding drops the marker that stands for no space
+    text = "".join([e[2] for e in entries])[1:]
+    return sum([e[1] for e in entries]), hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
 
 
 def encode_digests(docs: DataFrame, model: str) -> DataFrame:
@@ -127,22 +94,22 @@ def encode_digests(docs: DataFrame, model: str) -> DataFrame:
     Returns ``doc_id, n_tokens, ids_sha256, decoded_sha256``: all ids joined by commas, and
     the text decoded from them, both as lower-case hex of SHA-256.
 
-    Texts are cut into chunks (markers and the word behind them). Each block of texts keeps
-    a list of its distinct chunks and its texts as codes into it; the distinct chunks of
-    all blocks are segmented once, joined back to the blocks, and each text is put together
-    from its codes. Only codes and distinct chunks move. Blocks hold some 4 million
-    characters, so neither a frequent chunk nor a repeated document makes a large group.
+    Texts are cut into chunks (markers and the word behind them), about 4 million characters
+    at a time. The distinct chunks that the task's table lacks are segmented, each once,
+    and every text is put together from the table by position. The table starts anew when
+    it has grown over ``MOST_CHUNKS``; nothing is shuffled, so neither a frequent chunk nor
+    a repeated document makes a large group.
 
     A null or empty text has no ids; null and repeated ``doc_id`` keep their rows; a text
     longer than a block is a block by itself; other columns are not looked at; an empty
     table gives no rows. ``model`` is a path that every worker can read.
     """
-    return _by_block(docs, model, _joined, "n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _per_text(docs, model, _digests, ["n_tokens", "ids_sha256", "decoded_sha256"], "n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def encode(docs: DataFrame, model: str) -> DataFrame:
     """``doc_id, ids`` for every row of ``docs``, like ``encode_digests``."""
-    return _by_block(docs, model, _listed, "ids array<int>")
+    return _per_text(docs, model, lambda entries: ([int(i) for e in entries for i in e[0].split(",")],), ["ids"], "ids array<int>")
 
 
 def decode(encoded: DataFrame, model: str) -> DataFrame:

@@ -18,6 +18,8 @@ by_value(__name__)
 
 #: Words, and the marks and line ends behind which a sentence is over.
 TOKENS = re.compile(r"[^\W_]+|[.!?\n]+")
+#: Sentences told apart in a text that a model is fitted on, so that a key has 32 bits; scores know no such bound.
+SENTENCES = 1 << 15
 
 
 @dataclass(frozen=True)
@@ -71,9 +73,9 @@ def _extract(s: Settings):
                     for w in words:
                         if w not in known:
                             known[w] = bins_of(w, s)
-                        keys.extend([i * s.bins + b for b in known[w]])
+                        keys.extend([i % SENTENCES * s.bins + b for b in known[w]])
                 # a feature counts once in a sentence
-                rows.append(np.unique(np.array(keys, dtype=np.int64)).tobytes())
+                rows.append(np.unique(np.array(keys, dtype=np.uint32)).tobytes())
             yield pd.DataFrame({"toxic": batch["toxic"], "words": rows})
 
     return extract
@@ -106,7 +108,7 @@ def fit_rows(rows: list[tuple[int, np.ndarray]], s: Settings) -> Model:
     for _ in range(s.rounds):
         for part in np.array_split(rng.permutation(len(rows)), max(1, len(rows) // s.batch)):
             y = np.array([rows[i][0] for i in part], dtype=float)
-            keys = np.concatenate([rows[i][1] for i in part])
+            keys = np.concatenate([rows[i][1] for i in part]).astype(np.int64)
             doc = np.repeat(np.arange(len(part)), [len(rows[i][1]) for i in part])
             if not len(keys):
                 continue
@@ -135,7 +137,7 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
     chosen = open_.join(sample_by_hash(ids, F.col("doc_id"), s.documents), "doc_id").select("toxic", "text")  # bounded by the settings
     got = chosen.mapInPandas(_extract(s), "toxic int, words binary").toPandas()
     got = got.iloc[np.lexsort([got["words"], got["toxic"]]) if len(got) else []]
-    return fit_rows([(int(y), np.frombuffer(b, dtype=np.int64)) for y, b in zip(got["toxic"], got["words"], strict=True)], s)
+    return fit_rows([(int(y), np.frombuffer(b, dtype=np.uint32)) for y, b in zip(got["toxic"], got["words"], strict=True)], s)
 
 
 def _scores(text: str | None, model: Model, s: Settings, known: dict[str, tuple[int, ...]]) -> tuple[float, np.ndarray]:

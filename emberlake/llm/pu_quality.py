@@ -23,8 +23,8 @@ KINDS = [(re.compile("[A-ZÄÖÜÀ-ÝŒ]+"), "X"), (re.compile("[a-zà-ÿœß]+"
 
 @dataclass(frozen=True)
 class Settings:
-    positives: int = 8000  # bound on the labelled rows a model is fitted on
-    unlabelled: int = 16_000  # bound on the unlabelled rows
+    positives: int = 6000  # bound on the labelled rows a model is fitted on
+    unlabelled: int = 12_000  # bound on the unlabelled rows
     word_bins: int = 1 << 15
     shape_bins: int = 1 << 12
     rounds: int = 30

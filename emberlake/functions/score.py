@@ -206,28 +206,13 @@ def direction(contribution: Column) -> Column:
 
 
 def summary_text(drivers: Column, level: Column) -> Column:
-    """Preamble, three numbered drivers, then the names of the rest.
+    """The level, its three strongest drivers with their effect, and the names of the weaker ones in brackets.
 
     ``drivers`` is an array of struct(feature, direction, description).
     """
-    preamble = lookup(LEVEL_PREAMBLE, F.upper(level), PREAMBLE_DEFAULT)
-    numbered = F.transform(
-        F.slice(drivers, 1, 3),
-        lambda d, i: F.concat(
-            F.lit("  "),
-            (i + 1).cast("string"),
-            F.lit(". "),
-            d["description"],
-            F.lit(" — "),
-            lookup(DIRECTION_PHRASE, d["direction"]),
-            F.lit("."),
-        ),
-    )
-    rest = F.transform(F.slice(drivers, 4, 28), lambda d: F.replace(d["feature"], F.lit("_"), F.lit(" ")))
-    extra = F.when(
-        F.size(drivers) > 3,
-        F.array(F.concat(F.lit("Additional factors: "), F.array_join(rest, ", "), F.lit("."))),
-    ).otherwise(F.array().cast("array<string>"))
-    lines = F.concat(F.array(preamble, F.lit("Key contributing factors:")), numbered, extra)
+    opening = lookup(LEVEL_PREAMBLE, F.upper(level), PREAMBLE_DEFAULT)
+    strong = F.transform(F.slice(drivers, 1, 3), lambda d: F.concat(d["description"], F.lit(" "), lookup(DIRECTION_PHRASE, d["direction"])))
+    weak = F.array_join(F.transform(F.slice(drivers, 4, 28), lambda d: F.replace(d["feature"], F.lit("_"), F.lit(" "))), ", ")
+    closing = F.when(F.size(drivers) > 3, F.concat(F.lit(" (less: "), weak, F.lit(")"))).otherwise(F.lit(""))
     empty = drivers.isNull() | (F.size(drivers) == 0)
-    return F.when(empty, F.concat(preamble, F.lit(NO_DRIVERS_TEXT))).otherwise(F.array_join(lines, " "))
+    return F.concat(opening, F.when(empty, F.lit(NO_DRIVERS_TEXT)).otherwise(F.concat(F.lit(" "), F.array_join(strong, "; "), closing)))

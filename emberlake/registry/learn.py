@@ -154,8 +154,8 @@ _PRE = S.case_map(K.LEVEL_PREAMBLE, "level")
 @query(
     "g10_summary_text",
     "contribution_rows",
-    f"SELECT cell_id, {_PRE} || ' Key contributing factors: ' || string_agg('  ' || rank || '. ' || txt || ' — ' || CASE WHEN c > 0 THEN 'is pushing risk higher' ELSE 'is pulling risk lower' END || '.', ' ' ORDER BY rank) FILTER (rank <= 3)"
-    " || ' Additional factors: ' || string_agg(replace(feature, '_', ' '), ', ' ORDER BY rank) FILTER (rank > 3) || '.' AS summary"
+    f"SELECT cell_id, {_PRE} || ' ' || string_agg(txt || CASE WHEN c > 0 THEN ' raises it' ELSE ' lowers it' END, '; ' ORDER BY rank) FILTER (rank <= 3)"
+    " || ' (less: ' || string_agg(replace(feature, '_', ' '), ', ' ORDER BY rank) FILTER (rank > 3) || ')' AS summary"
     f" FROM (SELECT cell_id, {S.level('score')} AS level, feature, c, {_TEXT} AS txt, row_number() OVER (PARTITION BY cell_id ORDER BY abs(c) DESC, feature) AS rank FROM contribution_rows) WHERE rank <= 5 GROUP BY cell_id, level",
 )
 def _(d):

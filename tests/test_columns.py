@@ -78,7 +78,7 @@ def test_interval_is_ordered(spark):
 
 def test_summary_without_drivers(spark):
     none = F.array().cast("array<struct<feature:string,direction:string,description:string>>")
-    assert one(spark, score.summary_text(none, F.lit("HIGH"))).endswith("Insufficient data to identify specific drivers.")
+    assert one(spark, score.summary_text(none, F.lit("HIGH"))).endswith("Nothing is known about its causes.")
 
 
 def test_boundary(spark):

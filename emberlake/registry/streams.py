@@ -15,7 +15,7 @@ hr = S.hr
 
 def _events(d):
     schema = d.table("events").schema
-    return windows.file_stream(d.spark, d.folder, "events.parquet", schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    return windows.file_stream(d.spark, f"{d.folder}/events.parquet", schema).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _ticks(d):
@@ -34,7 +34,7 @@ def _(d):
     days = d.weather.select("cell_id", "date", *moisture.DRIVERS)
     for year in range(1995, 2002):
         days.where(F.year("date") == year).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    stream = windows.file_stream(d.spark, f"{root}/in", "*.parquet", days.schema, files_per_trigger=1)
+    stream = windows.file_stream(d.spark, f"{root}/in", days.schema, files_per_trigger=1)
     got = moisture.run_available(stream, f"{root}/work")
     return rounded(got.select("cell_id", "date", "ffmc", "dmc", "dc"), {"ffmc": 4, "dmc": 4, "dc": 4})
 

@@ -62,6 +62,7 @@ class LatestSnapshot:
 
     def __init__(self, root: str, values: Sequence[str], key: str = "cell_id", run: str = "run_ts", hours: int = 48):
         self.root, self.values, self.key, self.run, self.hours = root, list(values), key, run, hours
+        self.last: int | None = None
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         rows = batch.select(self.key, self.run, *self.values)
@@ -71,16 +72,15 @@ class LatestSnapshot:
         live = rows.where(F.col(self.run) > newest - F.expr(f"INTERVAL {self.hours} HOURS"))
         best = live.groupBy(self.key).agg(F.max_by(F.struct(self.run, *self.values), self.run).alias("_l")).select(self.key, "_l.*")
         best.write.mode("overwrite").parquet(f"{self.root}/snapshot/{batch_id}")
+        self.last = batch_id
 
 
 def run_snapshot(stream: DataFrame, root: str, values: Sequence[str]) -> DataFrame:
     """Run over what is there and return the last snapshot."""
-    query = (
-        stream.writeStream.foreachBatch(LatestSnapshot(root, values))
-        .option("checkpointLocation", f"{root}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
+    keeper = LatestSnapshot(root, values)
+    query = stream.writeStream.foreachBatch(keeper).option("checkpointLocation", f"{root}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    last = query.lastProgress["batchId"] if query.lastProgress else 0
-    return stream.sparkSession.read.parquet(f"{root}/snapshot/{last}")
+    if keeper.last is None:  # no rows ever came
+        columns = [keeper.key, keeper.run, *values]
+        return stream.sparkSession.createDataFrame([], stream.select(*dict.fromkeys(columns)).schema)
+    return stream.sparkSession.read.parquet(f"{root}/snapshot/{keeper.last}")

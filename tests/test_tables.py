@@ -154,7 +154,7 @@ def test_top_drivers(spark):
     df = spark.createDataFrame([({"fwi": -0.5, "rh_pct": 0.2, "lai": 0.0}, {"fwi": 31.25, "rh_pct": 40.0})], "c map<string,double>, v map<string,double>")
     got = df.select(V.top_drivers(F.col("c"), F.col("v"), 2)).first()[0]
     assert [(d.feature, d.direction) for d in got] == [("fwi", "decreasing"), ("rh_pct", "increasing")]
-    assert got[1].description == "Relative humidity 40% — low RH dries fuels rapidly"
+    assert got[1].description == "air humidity of 40 percent"
 
 
 def test_missing_prediction_is_an_error_row(spark):

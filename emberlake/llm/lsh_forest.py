@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -33,7 +34,7 @@ class Forest:
     least_depth: int = 4  # of the common prefix of candidates
     window: int = 48  # neighbours looked at in a region that has more at the least depth
     of_one: int = 8  # of them, rows of one component
-    nearest: int = 4  # of them, those with the nearest sketches are candidates in a tree
+    listed: int = 4  # a row with more candidates in a tree has them tested where it lies, not listed as pairs
     bits: int = 30  # of the 128 sketch bits in which candidates may differ
 
     def values(self) -> np.ndarray:
@@ -140,26 +141,29 @@ def _common(a: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.where(same.all(axis=1), a.shape[1], np.argmin(same, axis=1))])
 
 
-def _neighbours(rows: pd.DataFrame, forest: Forest, window: int, nearest: int, split: np.ndarray | None = None) -> tuple[list, list]:
-    """Candidate pairs among rows in the forest's order.
+def _alike(p: np.ndarray, q: np.ndarray, forest: Forest) -> bool:
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return 100 * both >= forest.hundredths * (len(p) + len(q) - both)
+
+
+def _neighbours(rows: pd.DataFrame, forest: Forest, window: int, split: np.ndarray | None = None) -> Iterator[tuple[int, list[tuple[int, int]]]]:
+    """Rows in the forest's order with their candidates, as positions: ``(i, [(differing bits, j), ...])``.
 
     A row looks back, over the stretch that shares ``least_depth`` values with it, at the
     nearest rows of other components: those with the longest common prefixes. Sizes and
-    sketches rule out what can't be a link; of the others, the ``nearest`` by sketch are
-    taken. ``split``: only pairs that lie in different partitions.
+    sketches rule out what can't be a link. ``split``: only pairs that lie in different partitions.
     """
     n = len(rows)
     if n < 2:
-        return [], []
+        return
     width = 2 * forest.depth
     label = np.frombuffer(b"".join(rows["label"]), dtype=">u2").reshape(n, width // 2)
     tree = rows["tree"].to_numpy()
     shared = _common(label)
     shared[1:][tree[1:] != tree[:-1]] = 0
-    cls, comp, size = rows["cls"].tolist(), rows["comp"].tolist(), rows["n"].tolist()
+    comp, size = rows["comp"].tolist(), rows["n"].tolist()
     s0, s1 = rows["s0"].tolist(), rows["s1"].tolist()
     m64, h = (1 << 64) - 1, forest.hundredths
-    left, right = [], []
     recent: list[int] = []
     for i in np.flatnonzero(np.concatenate([shared[1:] >= forest.least_depth, [False]]) | (shared >= forest.least_depth)).tolist():
         if shared[i] < forest.least_depth:
@@ -173,9 +177,8 @@ def _neighbours(rows: pd.DataFrame, forest: Forest, window: int, nearest: int, s
                 far = ((s0[i] ^ s0[j]) & m64).bit_count() + ((s1[i] ^ s1[j]) & m64).bit_count()
                 if far <= forest.bits:
                     seen.append((far, j))
-        for _, j in sorted(seen)[:nearest] if len(seen) > nearest else seen:
-            left.append(cls[i])
-            right.append(cls[j])
+        if seen:
+            yield i, seen
         # of one component its last rows stay in view: they are linked to the others already
         same = [k for k in recent if comp[k] == mine]
         if len(same) >= forest.of_one:
@@ -183,11 +186,44 @@ def _neighbours(rows: pd.DataFrame, forest: Forest, window: int, nearest: int, s
         recent.append(i)
         if len(recent) > window:
             recent.pop(0)
-    return left, right
 
 
-def _swept(forest: Forest, window: int, nearest: int):
-    """Pairs within each partition (``kind`` 0), and its first and last rows for the seams (``kind`` 1)."""
+def _closest(rows: pd.DataFrame, forest: Forest, window: int) -> Iterator[pd.DataFrame]:
+    """Of each row's candidates the one with the nearest sketch."""
+    cls = rows["cls"].tolist()
+    best = [(i, min(seen)[1]) for i, seen in _neighbours(rows, forest, window)]
+    yield pd.DataFrame({"kind": 0, "a": [cls[i] for i, _ in best], "b": [cls[j] for _, j in best]})
+
+
+def _listed(rows: pd.DataFrame, forest: Forest, window: int) -> Iterator[pd.DataFrame]:
+    """Pairs of rows with few candidates; of the others the rows themselves, with those they are to be tested with (``kind`` 2)."""
+    cls, pairs, crowd = rows["cls"].tolist(), [], set()
+    for i, seen in _neighbours(rows, forest, window):
+        if len(seen) <= forest.listed:
+            pairs += [(i, j) for _, j in seen]
+        else:
+            crowd |= {i, *[j for _, j in seen]}
+    yield pd.DataFrame({"kind": 0, "a": [cls[i] for i, _ in pairs], "b": [cls[j] for _, j in pairs]})
+    if crowd:
+        yield rows.iloc[sorted(crowd)].assign(kind=2, a=None, b=None)
+
+
+def _tested(rows: pd.DataFrame, forest: Forest, window: int) -> Iterator[pd.DataFrame]:
+    """The links among rows that bring their sets (``x``)."""
+    cls, sets = rows["cls"].tolist(), [np.frombuffer(x, dtype=np.uint64) for x in rows["x"]]
+    links, known = [], {}
+    for i, seen in _neighbours(rows, forest, window):
+        for _, j in seen:
+            pair = (cls[i], cls[j]) if cls[i] > cls[j] else (cls[j], cls[i])
+            if pair not in known:
+                known[pair] = _alike(sets[i], sets[j], forest)
+                if known[pair]:
+                    links.append(pair)
+    yield pd.DataFrame({"kind": 0, "a": [a for a, _ in links], "b": [b for _, b in links]})
+
+
+def _swept(forest: Forest, window: int, step):
+    """What ``step`` finds within each partition, and its first and last rows for the seams (``kind`` 1)."""
 
     def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
@@ -201,8 +237,8 @@ def _swept(forest: Forest, window: int, nearest: int):
             seen += len(batch)
             rows = batch if carry is None else pd.concat([carry, batch], ignore_index=True)
             # rows carried over were paired among themselves; pairs that come twice are made distinct later
-            a, b = _neighbours(rows, forest, window, nearest)
-            yield pd.DataFrame({"kind": 0, "part": part, "a": a, "b": b})
+            for found in step(rows, forest, window):
+                yield found.assign(part=part)
             carry = rows.iloc[-window:]
             late = batch.iloc[first:]
             tail = (late if tail is None else pd.concat([tail, late])).iloc[-window:]
@@ -218,53 +254,81 @@ def _swept(forest: Forest, window: int, nearest: int):
     return aligned
 
 
-def _stitched(forest: Forest, window: int, nearest: int):
+def _stitched(forest: Forest, window: int):
     def stitch(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["tree", "label", "cls"], kind="stable").reset_index(drop=True)
-        a, b = _neighbours(rows, forest, 2 * window, nearest, rows["part"].to_numpy())
-        return pd.DataFrame({"a": a, "b": b})
+        cls = rows["cls"].tolist()
+        pairs = [(cls[i], cls[j]) for i, seen in _neighbours(rows, forest, window, rows["part"].to_numpy()) for _, j in seen]
+        return pd.DataFrame({"a": [a for a, _ in pairs], "b": [b for _, b in pairs]})
 
     return stitch
 
 
-def candidates(nodes: DataFrame, forest: Forest, trees: range, window: int, nearest: int) -> DataFrame:
-    """Distinct candidate pairs ``a, b`` of ``nodes`` (``cls, comp, n, values, s0, s1``) over some of the trees.
+def _sweep(rows: DataFrame, forest: Forest, window: int, step) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``step`` over ``rows`` in the order of tree, label and class: its pairs, the pairs across seams, and its rows of ``kind`` 2.
 
-    All trees are one table, sorted by tree, label and class over range partitions, so a
-    crowded label is cut like any other stretch. A sweep with a bounded view gives the
-    pairs of a partition; the few rows at both its ends (no more than two windows a
-    partition) are swept once more across the seams.
+    All trees are one table, sorted over range partitions, so a crowded label is cut like
+    any other stretch. The few rows at both ends of a partition (no more than two windows)
+    are swept once more across the seams.
     """
-    spark = nodes.sparkSession
-    kind = nodes.schema["cls"].dataType.simpleString()
-    row = f"cls {kind}, comp {kind}, n int, s0 long, s1 long, tree int, label binary"
-    ordered = nodes.mapInPandas(_labels(forest, trees), row).repartitionByRange("tree", "label", "cls").sortWithinPartitions("tree", "label", "cls")
+    spark = rows.sparkSession
+    kind = rows.schema["cls"].dataType.simpleString()
+    ordered = rows.repartitionByRange("tree", "label", "cls").sortWithinPartitions("tree", "label", "cls")
     shape = f"kind int, part int, a {kind}, b {kind}, tree int, label binary, cls {kind}, comp {kind}, n int, s0 long, s1 long"
     path = fresh_path(spark, "forest")
-    ordered.select("tree", "label", "cls", "comp", "n", "s0", "s1").mapInPandas(_swept(forest, window, nearest), shape).write.partitionBy("kind").parquet(path)
-    inner = spark.read.schema(shape).parquet(path).where("kind = 0").select("a", "b")
-    ends = spark.read.schema(shape).parquet(path).where("kind = 1").drop("kind", "a", "b")
-    seams = ends.groupBy().applyInPandas(_stitched(forest, window, nearest), f"a {kind}, b {kind}")
-    pairs = inner.union(seams).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    return pairs.where("a <> b").distinct()
+    ordered.mapInPandas(_swept(forest, window, step), shape).write.partitionBy("kind").parquet(path)
+    swept = spark.read.schema(shape).parquet(path)
+    ends = swept.where("kind = 1").drop("kind", "a", "b")
+    seams = ends.groupBy().applyInPandas(_stitched(forest, window), f"a {kind}, b {kind}")
+    return swept.where("kind = 0").select("a", "b"), seams, swept.where("kind = 2").select("tree", "label", "cls", "comp", "n", "s0", "s1")
+
+
+def _pairs(*found: DataFrame) -> DataFrame:
+    every = reduce(DataFrame.union, found)
+    return every.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+
+
+def planted(nodes: DataFrame, forest: Forest, trees: range) -> DataFrame:
+    """A row per class and tree, with its label there, of ``nodes`` (``cls, comp, n, values, s0, s1``)."""
+    kind = nodes.schema["cls"].dataType.simpleString()
+    return nodes.mapInPandas(_labels(forest, trees), f"cls {kind}, comp {kind}, n int, s0 long, s1 long, tree int, label binary")
+
+
+def bulk_links(nodes: DataFrame, docs: DataFrame, forest: Forest) -> DataFrame:
+    """Links between rows and their closest neighbour in a narrow view of some trees: most of what joins large groups."""
+    inner, seams, _ = _sweep(planted(nodes, forest, range(max(1, forest.trees // 3))), forest, 8, _closest)
+    return confirmed(materialize(_pairs(inner, seams), "forest-pairs"), docs, forest)
+
+
+def forest_links(nodes: DataFrame, docs: DataFrame, forest: Forest) -> DataFrame:
+    """Links to all candidates in all trees.
+
+    Rows with few candidates are listed as pairs and the pairs confirmed. In a crowded
+    region, where each row has dozens of candidates and a pair costs more than a row, the
+    rows take their sets along into a second sweep that tests every candidate in place:
+    a set then moves once a tree, however many candidates it has.
+    """
+    inner, seams, crowd = _sweep(planted(nodes, forest, range(forest.trees)), forest, forest.window, _listed)
+    # a row is put down once for every batch that saw it
+    crowd = materialize(crowd.distinct(), "forest-crowd")
+    sets = set_table(crowd.select(F.col("cls").alias("doc_id")), docs, forest).withColumnRenamed("id", "cls")
+    tested, across, _ = _sweep(crowd.join(sets.hint("merge"), "cls"), forest, forest.window, _tested)
+    listed = confirmed(materialize(_pairs(inner, seams, across), "forest-pairs"), docs, forest)
+    return listed.union(tested)
 
 
 def _checked(forest: Forest):
     def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch["x"], batch["y"], strict=True):
-                p, q = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                keep.append(100 * both >= forest.hundredths * (len(p) + len(q) - both))
+            keep = [_alike(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64), forest) for x, y in zip(batch["x"], batch["y"], strict=True)]
             yield batch.loc[keep, ["a", "b"]]
 
     return check
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, forest: Forest) -> DataFrame:
-    """The pairs whose full shingle sets are similar enough; only the texts of documents in pairs are read again."""
-    kind = pairs.schema["a"].dataType.simpleString()
+def set_table(wanted: DataFrame, docs: DataFrame, forest: Forest) -> DataFrame:
+    """``id, x``: the shingle sets of the documents in ``wanted`` (``doc_id``); no other texts are cut into shingles."""
+    kind = wanted.schema["doc_id"].dataType.simpleString()
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
@@ -272,9 +336,14 @@ def confirmed(pairs: DataFrame, docs: DataFrame, forest: Forest) -> DataFrame:
                 batch = whole.iloc[start : start + 500]
                 yield pd.DataFrame({"id": batch["doc_id"], "x": [s.tobytes() for s in _sets_of(batch, forest.words)]})
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    known = docs.select("doc_id", "text").join(wanted.hint("merge"), "doc_id", "left_semi").mapInPandas(sets, f"id {kind}, x binary")
-    known = materialize(known, "forest-sets")
+    known = docs.select("doc_id", "text").join(wanted.distinct().hint("merge"), "doc_id", "left_semi").mapInPandas(sets, f"id {kind}, x binary")
+    return materialize(known, "forest-sets")
+
+
+def confirmed(pairs: DataFrame, docs: DataFrame, forest: Forest) -> DataFrame:
+    """The pairs whose full shingle sets are similar enough; only the texts of documents in pairs are read again."""
+    kind = pairs.schema["a"].dataType.simpleString()
+    known = set_table(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")), docs, forest)
     first = known.withColumnRenamed("id", "a")
     second = known.select(F.col("id").alias("b"), F.col("x").alias("y"))
     return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInPandas(_checked(forest), f"a {kind}, b {kind}").distinct()
@@ -308,11 +377,10 @@ def near_groups(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     classes = feats.where("digest is not null").groupBy("digest", "n", "values", "s0", "s1").agg(F.min("doc_id").alias("cls"))
     classes = materialize(classes, "forest-classes")
     nodes = classes.where("cls is not null").select("cls", F.col("cls").alias("comp"), "n", "values", "s0", "s1")
-    few = max(1, forest.trees // 3)
-    links = materialize(confirmed(materialize(candidates(nodes, forest, range(few), 8, 1), "forest-pairs"), docs, forest), "forest-links")
+    links = materialize(bulk_links(nodes, docs, forest), "forest-links")
     groups = materialize(components(links), "forest-groups").withColumnRenamed("node", "cls")
     placed = nodes.drop("comp").join(groups, "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
-    more = confirmed(materialize(candidates(placed, forest, range(forest.trees), forest.window, forest.nearest), "forest-pairs"), docs, forest)
+    more = forest_links(placed, docs, forest)
     final = components(groups.select(F.col("cls").alias("a"), F.col("component").alias("b")).union(more))
     named = classes.select("digest", "cls").join(final.withColumnRenamed("node", "cls"), "cls", "left")
     facts = named.select("digest", F.coalesce("component", "cls").alias("_component"))

@@ -160,6 +160,19 @@ def test_near_groups_equal_brute_force(spark, k):
     assert lsh_forest.near_groups(frame.limit(0), lsh_forest.Forest(words=k)).count() == 0
 
 
+@pytest.mark.parametrize("listed", [0, 4])
+def test_near_groups_in_a_crowded_region(spark, listed):
+    """Many documents share a passage, short of a link; each has one near copy that is a link."""
+    rng = random.Random(9)
+    passage, rows = [f"p{i}" for i in range(60)], []
+    for i in range(60):
+        own = [f"o{i}x{j}" for j in range(rng.randrange(9, 14))]
+        rows += [(2 * i, " ".join(passage + own)), (2 * i + 1, " ".join(passage + own[:-1] + ["else"]))]
+    got = {r.doc_id: r.component_id for r in lsh_forest.near_groups(docs_of(spark, rows), lsh_forest.Forest(words=2, listed=listed)).collect()}
+    _, want = jaccard_components(rows, 2)
+    assert got == want and len(set(want.values())) == 60
+
+
 def test_mix_meets_its_targets(spark):
     rng = random.Random(4)
     rows = [(i, " ".join("w" * rng.randrange(1, 4) for _ in range(rng.randrange(0, 900))), "en", rng.choice(["a", "b", "b", "b", "c", None])) for i in range(300)]

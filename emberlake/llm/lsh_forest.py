@@ -5,7 +5,6 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -188,17 +187,17 @@ def _neighbours(rows: pd.DataFrame, forest: Forest, window: int, split: np.ndarr
             recent.pop(0)
 
 
-def _closest(rows: pd.DataFrame, forest: Forest, window: int) -> Iterator[pd.DataFrame]:
+def _closest(rows: pd.DataFrame, forest: Forest, window: int, split: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
     """Of each row's candidates the one with the nearest sketch."""
     cls = rows["cls"].tolist()
-    best = [(i, min(seen)[1]) for i, seen in _neighbours(rows, forest, window)]
+    best = [(i, min(seen)[1]) for i, seen in _neighbours(rows, forest, window, split)]
     yield pd.DataFrame({"kind": 0, "a": [cls[i] for i, _ in best], "b": [cls[j] for _, j in best]})
 
 
-def _listed(rows: pd.DataFrame, forest: Forest, window: int) -> Iterator[pd.DataFrame]:
+def _listed(rows: pd.DataFrame, forest: Forest, window: int, split: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
     """Pairs of rows with few candidates; of the others the rows themselves, with those they are to be tested with (``kind`` 2)."""
     cls, pairs, crowd = rows["cls"].tolist(), [], set()
-    for i, seen in _neighbours(rows, forest, window):
+    for i, seen in _neighbours(rows, forest, window, split):
         if len(seen) <= forest.listed:
             pairs += [(i, j) for _, j in seen]
         else:
@@ -208,11 +207,11 @@ def _listed(rows: pd.DataFrame, forest: Forest, window: int) -> Iterator[pd.Data
         yield rows.iloc[sorted(crowd)].assign(kind=2, a=None, b=None)
 
 
-def _tested(rows: pd.DataFrame, forest: Forest, window: int) -> Iterator[pd.DataFrame]:
+def _tested(rows: pd.DataFrame, forest: Forest, window: int, split: np.ndarray | None = None) -> Iterator[pd.DataFrame]:
     """The links among rows that bring their sets (``x``)."""
     cls, sets = rows["cls"].tolist(), [np.frombuffer(x, dtype=np.uint64) for x in rows["x"]]
     links, known = [], {}
-    for i, seen in _neighbours(rows, forest, window):
+    for i, seen in _neighbours(rows, forest, window, split):
         for _, j in seen:
             pair = (cls[i], cls[j]) if cls[i] > cls[j] else (cls[j], cls[i])
             if pair not in known:
@@ -222,7 +221,13 @@ def _tested(rows: pd.DataFrame, forest: Forest, window: int) -> Iterator[pd.Data
     yield pd.DataFrame({"kind": 0, "a": [a for a, _ in links], "b": [b for _, b in links]})
 
 
-def _swept(forest: Forest, window: int, step):
+def _aligned(found: Iterator[pd.DataFrame], names: list[str]) -> Iterator[pd.DataFrame]:
+    for out in found:
+        if len(out):
+            yield out.reindex(columns=names).astype(object).where(lambda x: x.notna(), None)
+
+
+def _swept(forest: Forest, window: int, step, names: list[str]):
     """What ``step`` finds within each partition, and its first and last rows for the seams (``kind`` 1)."""
 
     def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -245,47 +250,62 @@ def _swept(forest: Forest, window: int, step):
         if tail is not None and len(tail):
             yield tail.assign(kind=1, part=part, a=None, b=None)
 
-    def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        names = ["kind", "part", "a", "b", "tree", "label", "cls", "comp", "n", "s0", "s1"]
-        for out in sweep(batches):
-            if len(out):
-                yield out.reindex(columns=names).astype(object).where(lambda x: x.notna(), None)
+    return lambda batches: _aligned(sweep(batches), names)
 
-    return aligned
 
+def _stitched(forest: Forest, window: int, step, names: list[str]):
+    """What ``step`` finds across the partitions that meet in one seam."""
 
-def _stitched(forest: Forest, window: int):
     def stitch(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["tree", "label", "cls"], kind="stable").reset_index(drop=True)
-        cls = rows["cls"].tolist()
-        pairs = [(cls[i], cls[j]) for i, seen in _neighbours(rows, forest, window, rows["part"].to_numpy()) for _, j in seen]
-        return pd.DataFrame({"a": [a for a, _ in pairs], "b": [b for _, b in pairs]})
+        found = list(_aligned(step(rows, forest, window, rows["part"].to_numpy()), names))
+        return pd.concat(found) if found else pd.DataFrame(columns=names)
 
     return stitch
 
 
-def _sweep(rows: DataFrame, forest: Forest, window: int, step) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """``step`` over ``rows`` in the order of tree, label and class: its pairs, the pairs across seams, and its rows of ``kind`` 2.
+def _seams(ends: DataFrame, window: int) -> DataFrame:
+    """``part, seam``: a partition's first rows meet, in its own seam, the last ``window`` rows before them.
+
+    Made from one count per partition, so it grows with the number of partitions alone.
+    """
+    counts = sorted((r["part"], r["count"]) for r in ends.groupBy("part").count().collect())
+    meets = []
+    for at, (part, _) in enumerate(counts):
+        meets.append((part, part))
+        before, back = 0, at
+        while back and before < window:
+            back -= 1
+            before += counts[back][1]
+            meets.append((counts[back][0], part))
+    return ends.sparkSession.createDataFrame(meets, "part int, seam int")
+
+
+def _sweep(rows: DataFrame, forest: Forest, window: int, step) -> tuple[DataFrame, DataFrame]:
+    """``step`` over ``rows`` in the order of tree, label and class: its pairs, and its rows of ``kind`` 2.
 
     All trees are one table, sorted over range partitions, so a crowded label is cut like
     any other stretch. The few rows at both ends of a partition (no more than two windows)
-    are swept once more across the seams.
+    are swept once more across each seam, every seam by itself.
     """
     spark = rows.sparkSession
     kind = rows.schema["cls"].dataType.simpleString()
-    ordered = rows.repartitionByRange("tree", "label", "cls").sortWithinPartitions("tree", "label", "cls")
-    shape = f"kind int, part int, a {kind}, b {kind}, tree int, label binary, cls {kind}, comp {kind}, n int, s0 long, s1 long"
+    kinds = {"tree": "int", "label": "binary", "cls": kind, "comp": kind, "n": "int", "s0": "long", "s1": "long", "x": "binary"}
+    own = [c for c in kinds if c in rows.columns]
+    shape = f"kind int, part int, a {kind}, b {kind}, " + ", ".join(f"{c} {kinds[c]}" for c in own)
+    names = ["kind", "part", "a", "b", *own]
+    ordered = rows.select(*own).repartitionByRange("tree", "label", "cls").sortWithinPartitions("tree", "label", "cls")
     path = fresh_path(spark, "forest")
-    ordered.mapInPandas(_swept(forest, window, step), shape).write.partitionBy("kind").parquet(path)
+    ordered.mapInPandas(_swept(forest, window, step, names), shape).write.partitionBy("kind").parquet(path)
     swept = spark.read.schema(shape).parquet(path)
     ends = swept.where("kind = 1").drop("kind", "a", "b")
-    seams = ends.groupBy().applyInPandas(_stitched(forest, window), f"a {kind}, b {kind}")
-    return swept.where("kind = 0").select("a", "b"), seams, swept.where("kind = 2").select("tree", "label", "cls", "comp", "n", "s0", "s1")
+    met = ends.join(F.broadcast(_seams(ends, window)), "part").groupBy("seam").applyInPandas(_stitched(forest, window, step, names), shape)
+    found = swept.where("kind <> 1").select(*names).union(materialize(met, "forest-seams"))
+    return found.where("kind = 0").select("a", "b"), found.where("kind = 2").select(*own)
 
 
-def _pairs(*found: DataFrame) -> DataFrame:
-    every = reduce(DataFrame.union, found)
-    return every.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
+def _pairs(found: DataFrame) -> DataFrame:
+    return found.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
 
 
 def planted(nodes: DataFrame, forest: Forest, trees: range) -> DataFrame:
@@ -296,8 +316,8 @@ def planted(nodes: DataFrame, forest: Forest, trees: range) -> DataFrame:
 
 def bulk_links(nodes: DataFrame, docs: DataFrame, forest: Forest) -> DataFrame:
     """Links between rows and their closest neighbour in a narrow view of some trees: most of what joins large groups."""
-    inner, seams, _ = _sweep(planted(nodes, forest, range(max(1, forest.trees // 3))), forest, 8, _closest)
-    return confirmed(materialize(_pairs(inner, seams), "forest-pairs"), docs, forest)
+    pairs, _ = _sweep(planted(nodes, forest, range(max(1, forest.trees // 3))), forest, 8, _closest)
+    return confirmed(materialize(_pairs(pairs), "forest-pairs"), docs, forest)
 
 
 def forest_links(nodes: DataFrame, docs: DataFrame, forest: Forest) -> DataFrame:
@@ -306,14 +326,15 @@ def forest_links(nodes: DataFrame, docs: DataFrame, forest: Forest) -> DataFrame
     Rows with few candidates are listed as pairs and the pairs confirmed. In a crowded
     region, where each row has dozens of candidates and a pair costs more than a row, the
     rows take their sets along into a second sweep that tests every candidate in place:
-    a set then moves once a tree, however many candidates it has.
+    a set then moves once a tree, however many candidates it has. Rows at the seams of
+    partitions are treated alike.
     """
-    inner, seams, crowd = _sweep(planted(nodes, forest, range(forest.trees)), forest, forest.window, _listed)
-    # a row is put down once for every batch that saw it
+    pairs, crowd = _sweep(planted(nodes, forest, range(forest.trees)), forest, forest.window, _listed)
+    # a row is put down once for every batch and seam that saw it
     crowd = materialize(crowd.distinct(), "forest-crowd")
     sets = set_table(crowd.select(F.col("cls").alias("doc_id")), docs, forest).withColumnRenamed("id", "cls")
-    tested, across, _ = _sweep(crowd.join(sets.hint("merge"), "cls"), forest, forest.window, _tested)
-    listed = confirmed(materialize(_pairs(inner, seams, across), "forest-pairs"), docs, forest)
+    tested, _ = _sweep(crowd.join(sets.hint("merge"), "cls"), forest, forest.window, _tested)
+    listed = confirmed(materialize(_pairs(pairs), "forest-pairs"), docs, forest)
     return listed.union(tested)
 
 

@@ -13,14 +13,17 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlake.llm.common import UPPER, WORDS, attach, by_value
+from emberlake.llm.common import ROWS_PER_SALT, UPPER, WORDS, attach, by_value
 from emberlake.llm.components import components
+from emberlake.operators.skew import salted_join
 from emberlake.session import fresh_path, materialize
 
 by_value(__name__)
 LOWER = str.maketrans(UPPER, UPPER.lower())
 #: Shingles whose minima are taken in one go: what numpy works on at a time stays in the cache.
 CHUNK = 65_536
+#: Counters in which shingles are counted to order them by how rare they are: a shingle's first bits name its counter.
+COUNTER_BITS = 20
 
 
 @dataclass(frozen=True)
@@ -31,7 +34,7 @@ class Forest:
     trees: int = 24
     depth: int = 10  # values in a tree's label
     least_depth: int = 4  # of the common prefix of candidates
-    window: int = 48  # neighbours looked at in a region that has more at the least depth
+    window: int = 48  # neighbours looked at in a region that has more at the least depth; the rest is left to ``rare_links``
     of_one: int = 8  # of them, rows of one component
     listed: int = 4  # a row with more candidates in a tree has them tested where it lies, not listed as pairs
     bits: int = 30  # of the 128 sketch bits in which candidates may differ
@@ -178,7 +181,7 @@ def _neighbours(rows: pd.DataFrame, forest: Forest, window: int, split: np.ndarr
                     seen.append((far, j))
         if seen:
             yield i, seen
-        # of one component its last rows stay in view: they are linked to the others already
+        # a row that leaves the view has been put down in ``_Stretches``, and ``rare_links`` finds its other links
         same = [k for k in recent if comp[k] == mine]
         if len(same) >= forest.of_one:
             recent.remove(same[0])
@@ -227,15 +230,59 @@ def _aligned(found: Iterator[pd.DataFrame], names: list[str]) -> Iterator[pd.Dat
             yield out.reindex(columns=names).astype(object).where(lambda x: x.notna(), None)
 
 
+class _Stretches:
+    """The rows of stretches that share the least depth and may hold more rows than stay in view.
+
+    Those are the stretches of more rows than ``of_one`` (or the window, if that is less),
+    and those cut by an end of the partition, whose other part isn't known here.
+    """
+
+    def __init__(self, forest: Forest):
+        self.least, self.depth = forest.window, forest.least_depth
+        self.held: list[pd.DataFrame] = []
+        self.last, self.size, self.open = None, 0, True
+
+    def of(self, batch: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        rows = batch[["tree", "label", "cls"]].assign(label=[x[: 2 * self.depth] for x in batch["label"]])
+        tree, label = rows["tree"].to_numpy(), rows["label"].to_numpy()
+        last = (tree[-1], label[-1])
+        fresh = np.concatenate([[self.last is not None and self.last != (tree[0], label[0])], (tree[1:] != tree[:-1]) | (label[1:] != label[:-1])])
+        # stretch 0 is the one that was open before; the partition's first one is open in front
+        stretch = np.cumsum(fresh)
+        sizes = np.bincount(stretch)
+        sizes[0] += self.size
+        keep = sizes > self.least
+        keep[0] |= self.open
+        if keep[0] and not fresh[0]:
+            yield from self.end()
+        if keep[stretch].any():
+            yield rows[keep[stretch]].assign(kind=3, a=None, b=None)
+        if stretch[-1]:
+            self.held, self.open = [], False
+        if not keep[-1]:
+            self.held.append(rows[stretch == stretch[-1]])
+        elif stretch[-1] == 0:
+            self.held = []
+        self.last, self.size = last, int(sizes[-1])
+
+    def end(self) -> Iterator[pd.DataFrame]:
+        if self.held:
+            yield pd.concat(self.held).assign(kind=3, a=None, b=None)
+
+
 def _swept(forest: Forest, window: int, step, names: list[str]):
-    """What ``step`` finds within each partition, and its first and last rows for the seams (``kind`` 1)."""
+    """What ``step`` finds within each partition, its first and last rows for the seams (``kind`` 1), and crowded stretches (``kind`` 3)."""
 
     def sweep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         part = TaskContext.get().partitionId()
         carry: pd.DataFrame | None = None
         seen, tail = 0, None
+        stretches = _Stretches(forest) if step is _listed else None
         for batch in batches:
             batch = batch.reset_index(drop=True)
+            if stretches:
+                for found in stretches.of(batch):
+                    yield found.assign(part=part)
             if seen < window:
                 yield batch.iloc[: window - seen].assign(kind=1, part=part, a=None, b=None)
             first = max(0, window - seen)
@@ -249,6 +296,9 @@ def _swept(forest: Forest, window: int, step, names: list[str]):
             tail = (late if tail is None else pd.concat([tail, late])).iloc[-window:]
         if tail is not None and len(tail):
             yield tail.assign(kind=1, part=part, a=None, b=None)
+        if stretches:
+            for found in stretches.end():
+                yield found.assign(part=part)
 
     return lambda batches: _aligned(sweep(batches), names)
 
@@ -281,8 +331,8 @@ def _seams(ends: DataFrame, window: int) -> DataFrame:
     return ends.sparkSession.createDataFrame(meets, "part int, seam int")
 
 
-def _sweep(rows: DataFrame, forest: Forest, window: int, step) -> tuple[DataFrame, DataFrame]:
-    """``step`` over ``rows`` in the order of tree, label and class: its pairs, and its rows of ``kind`` 2.
+def _sweep(rows: DataFrame, forest: Forest, window: int, step) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """``step`` over ``rows`` in the order of tree, label and class: its pairs, its rows of ``kind`` 2, and those of crowded stretches.
 
     All trees are one table, sorted over range partitions, so a crowded label is cut like
     any other stretch. The few rows at both ends of a partition (no more than two windows)
@@ -300,8 +350,9 @@ def _sweep(rows: DataFrame, forest: Forest, window: int, step) -> tuple[DataFram
     swept = spark.read.schema(shape).parquet(path)
     ends = swept.where("kind = 1").drop("kind", "a", "b")
     met = ends.join(F.broadcast(_seams(ends, window)), "part").groupBy("seam").applyInPandas(_stitched(forest, window, step, names), shape)
-    found = swept.where("kind <> 1").select(*names).union(materialize(met, "forest-seams"))
-    return found.where("kind = 0").select("a", "b"), found.where("kind = 2").select(*own)
+    found = swept.where("kind in (0, 2)").select(*names).union(materialize(met, "forest-seams"))
+    crowded = swept.where("kind = 3").select("tree", "label", "cls")
+    return found.where("kind = 0").select("a", "b"), found.where("kind = 2").select(*own), crowded
 
 
 def _pairs(found: DataFrame) -> DataFrame:
@@ -316,12 +367,12 @@ def planted(nodes: DataFrame, forest: Forest, trees: range) -> DataFrame:
 
 def bulk_links(nodes: DataFrame, docs: DataFrame, forest: Forest) -> DataFrame:
     """Links between rows and their closest neighbour in a narrow view of some trees: most of what joins large groups."""
-    pairs, _ = _sweep(planted(nodes, forest, range(max(1, forest.trees // 3))), forest, 8, _closest)
+    pairs, _, _ = _sweep(planted(nodes, forest, range(max(1, forest.trees // 3))), forest, 8, _closest)
     return confirmed(materialize(_pairs(pairs), "forest-pairs"), docs, forest)
 
 
-def forest_links(nodes: DataFrame, docs: DataFrame, forest: Forest) -> DataFrame:
-    """Links to all candidates in all trees.
+def forest_links(nodes: DataFrame, docs: DataFrame, forest: Forest) -> tuple[DataFrame, DataFrame]:
+    """Links to all candidates in view in all trees, and the rows of stretches that hold more (``tree, label, cls``).
 
     Rows with few candidates are listed as pairs and the pairs confirmed. In a crowded
     region, where each row has dozens of candidates and a pair costs more than a row, the
@@ -329,13 +380,13 @@ def forest_links(nodes: DataFrame, docs: DataFrame, forest: Forest) -> DataFrame
     a set then moves once a tree, however many candidates it has. Rows at the seams of
     partitions are treated alike.
     """
-    pairs, crowd = _sweep(planted(nodes, forest, range(forest.trees)), forest, forest.window, _listed)
+    pairs, crowd, crowded = _sweep(planted(nodes, forest, range(forest.trees)), forest, forest.window, _listed)
     # a row is put down once for every batch and seam that saw it
     crowd = materialize(crowd.distinct(), "forest-crowd")
     sets = set_table(crowd.select(F.col("cls").alias("doc_id")), docs, forest).withColumnRenamed("id", "cls")
-    tested, _ = _sweep(crowd.join(sets.hint("merge"), "cls"), forest, forest.window, _tested)
+    tested, _, _ = _sweep(crowd.join(sets.hint("merge"), "cls"), forest, forest.window, _tested)
     listed = confirmed(materialize(_pairs(pairs), "forest-pairs"), docs, forest)
-    return listed.union(tested)
+    return listed.union(tested), crowded
 
 
 def _checked(forest: Forest):
@@ -370,6 +421,94 @@ def confirmed(pairs: DataFrame, docs: DataFrame, forest: Forest) -> DataFrame:
     return pairs.join(first, "a").join(second, "b").select("a", "b", "x", "y").mapInPandas(_checked(forest), f"a {kind}, b {kind}").distinct()
 
 
+def overflowing(crowded: DataFrame, groups: DataFrame, forest: Forest) -> DataFrame:
+    """``cls, comp``: the rows of stretches of several components of which some row left the view. ``groups`` is ``cls, comp``."""
+    rows = crowded.join(groups.hint("merge"), "cls", "left").withColumn("comp", F.coalesce("comp", "cls"))
+    rows = materialize(rows, "forest-crowded")
+    parts = rows.groupBy("tree", "label", "comp").agg(F.count(F.lit(1)).alias("c"))
+    sizes = parts.groupBy("tree", "label").agg(F.sum("c").alias("_n"), F.max("c").alias("most"), F.count(F.lit(1)).alias("comps"))
+    # components have only grown since the sweep, so one that had too many rows in view then has them now
+    over = sizes.where((F.col("comps") > 1) & (F.col("_n") > forest.window))
+    return attach(rows, over.select("tree", "label"), ["tree", "label"], ["cls"]).select("cls", "comp").distinct()
+
+
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """How many shingles of the sets fall to each counter."""
+    total = np.zeros(1 << COUNTER_BITS, dtype=np.int64)
+    for batch in batches:
+        for x in batch["x"]:
+            total += 0 if not len(x) else np.bincount((np.frombuffer(x, dtype=np.uint64) >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=len(total))
+    full = np.flatnonzero(total)
+    yield pd.DataFrame({"counter": full, "c": total[full]})
+
+
+def _first_shingles(forest: Forest, weights: np.ndarray):
+    """The rarest shingles of each set, as many as can hold the first one it shares with a linked set no larger than itself.
+
+    ``weights``: a rough logarithm of each counter's count; 8 is a count of one. Any order
+    that all sets share gives the same links; a rare one first gives few candidates.
+    """
+    h = forest.hundredths
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            t, at, size, row = [], [], [], []
+            for i, x in enumerate(batch["x"]):
+                x = np.frombuffer(x, dtype=np.uint64)
+                w = weights[(x >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)]
+                n = len(x)
+                best = np.argsort(w, kind="stable")[: n - -(-h * n // 100) + 1]
+                p = np.flatnonzero(w[best] > 8)
+                t.append(x[best][p].view(np.int64))
+                at.append(p)
+                size.append(np.full(len(p), n))
+                row.append(np.full(len(p), i))
+            if t:
+                some = batch.iloc[np.concatenate(row)]
+                yield pd.DataFrame({"t": np.concatenate(t), "p": np.concatenate(at), "n": np.concatenate(size), "cls": some["cls"].to_numpy(), "comp": some["comp"].to_numpy()})
+
+    return first
+
+
+def rare_links(rows: DataFrame, docs: DataFrame, forest: Forest) -> DataFrame:
+    """All links between rows (``cls, comp``) of different components, by what their full sets share.
+
+    Sets of m >= n shingles with a similarity of h hundredths share at least
+    ``a = h (m + n) / (100 + h)``, and at the first one they share, in an order common to all,
+    both have ``a`` or more left. So each pair meets in a shingle among the first
+    ``m - h m / 100`` of the larger and the first ``n - 2 h n / (100 + h)`` of the smaller, and
+    the places there rule out most pairs that are no link. Nothing is left to chance and
+    no group of pairs is cut. Rows of the component that has most rows under a shingle
+    are joined with rows of other components only; hot shingles are split over tasks.
+    """
+    spark, h = rows.sparkSession, forest.hundredths
+    kind = rows.schema["cls"].dataType.simpleString()
+    sets = set_table(rows.select(F.col("cls").alias("doc_id")), docs, forest).withColumnRenamed("id", "cls")
+    counts = sets.select("x").mapInPandas(_counted, "counter int, c long").groupBy("counter").agg(F.sum("c").alias("c")).toPandas()
+    weights = np.zeros(1 << COUNTER_BITS, dtype=np.uint16)
+    weights[counts["counter"].to_numpy()] = 8 * np.log2(1 + counts["c"].to_numpy())
+    shape = f"t long, p int, n int, cls {kind}, comp {kind}"
+    first = sets.join(rows.hint("merge"), "cls").select("cls", "comp", "x").mapInPandas(_first_shingles(forest, weights), shape)
+    first = materialize(first.withColumn("small", F.expr(f"{100 + h} * (n - p) >= {2 * h} * n")), "forest-first")
+    under = first.groupBy("t", "comp").agg(F.count(F.lit(1)).alias("c"), F.max("small").alias("small"))
+    under = under.groupBy("t").agg(F.sum("c").alias("_n"), F.count(F.lit(1)).alias("comps"), F.max("small").alias("any"), F.max(F.struct("c", "comp")).alias("top"))
+    live = materialize(under.where("comps > 1 and any").select("t", "_n", F.col("top.comp").alias("top")), "forest-live")
+    met = salted_join(first, live.select("t", "top"), ["t"], ["cls"], rows_per_salt=ROWS_PER_SALT, counts=live.select("t", "_n"))
+    met = materialize(met.withColumn("major", F.col("comp") == F.col("top")).drop("top"), "forest-met")
+
+    def as_(which: str, name: str) -> DataFrame:
+        return met.where(which).select("t", *[F.col(c).alias(f"{name}{c}") for c in ("p", "n", "cls", "comp")])
+
+    def joined(big: DataFrame, salt_on: str, small: DataFrame) -> DataFrame:
+        both = salted_join(big, small, ["t"], [salt_on], rows_per_salt=ROWS_PER_SALT, counts=live.select("t", "_n"))
+        both = both.where("x_comp <> y_comp and (x_n > y_n or (x_n = y_n and x_cls > y_cls))").where(f"100 * y_n >= {h} * x_n")
+        both = both.where(f"{100 + h} * least(x_n - x_p, y_n - y_p) >= {h} * (x_n + y_n)")
+        return both.select(F.col("x_cls").alias("a"), F.col("y_cls").alias("b"))
+
+    pairs = joined(as_("small", "y_"), "y_cls", as_("not major", "x_")).union(joined(as_("major", "x_"), "x_cls", as_("small and not major", "y_")))
+    return confirmed(materialize(_pairs(pairs), "forest-pairs"), docs, forest)
+
+
 def near_groups(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     """Every row of ``docs`` (``doc_id``, ``text``) with its group of near-duplicates.
 
@@ -383,8 +522,9 @@ def near_groups(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     some tree but for a chance of three in a million. Where more rows than the window share
     that depth, a row sees the nearest ones, which is the region's own, greater depth.
     First a few trees with a narrow view find the bulk of the links; then all trees, where
-    members of one component no longer count as neighbours, so a large group can't hide
-    a link and its pairs are never listed.
+    members of one component no longer count as neighbours, so its pairs are never listed.
+    Rows of stretches in which a row left the view, by the window or because its component
+    has many there, are joined once more by their rarest shingles (``rare_links``), which misses no link.
 
     A text without words (null too) has an empty set and is linked with nothing. Null ids
     keep their row: equal sets share a component, but they don't take part in links. Rows
@@ -401,8 +541,13 @@ def near_groups(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     links = materialize(bulk_links(nodes, docs, forest), "forest-links")
     groups = materialize(components(links), "forest-groups").withColumnRenamed("node", "cls")
     placed = nodes.drop("comp").join(groups, "cls", "left").withColumn("comp", F.coalesce("component", "cls")).drop("component")
-    more = forest_links(placed, docs, forest)
-    final = components(groups.select(F.col("cls").alias("a"), F.col("component").alias("b")).union(more))
+    more, crowded = forest_links(placed, docs, forest)
+    final = materialize(components(groups.select(F.col("cls").alias("a"), F.col("component").alias("b")).union(more)), "forest-groups")
+    left = materialize(overflowing(crowded, final.select(F.col("node").alias("cls"), F.col("component").alias("comp")), forest), "forest-left")
+    if not left.isEmpty():
+        late = materialize(rare_links(left, docs, forest), "forest-links")
+        if not late.isEmpty():
+            final = components(final.select(F.col("node").alias("a"), F.col("component").alias("b")).union(late))
     named = classes.select("digest", "cls").join(final.withColumnRenamed("node", "cls"), "cls", "left")
     facts = named.select("digest", F.coalesce("component", "cls").alias("_component"))
     lone = F.concat(F.encode(F.lit("lone "), "utf-8"), F.coalesce(F.col("doc_id").cast("string").cast("binary"), F.lit(b"")))

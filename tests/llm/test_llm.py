@@ -173,6 +173,19 @@ def test_near_groups_in_a_crowded_region(spark, listed):
     assert got == want and len(set(want.values())) == 60
 
 
+def test_near_groups_see_links_in_a_region_larger_than_the_view(spark):
+    """Documents share a passage, short of a link; those of one pair lie far apart in the order of every tree."""
+    rng = random.Random(3)
+    half, passage, rows = 400, [f"p{i}" for i in range(60)], []
+    for i in range(half):
+        own = [f"o{i}x{j}" for j in range(rng.randrange(9, 12))]
+        rows += [(i, " ".join(passage + own)), (half + (i * 7) % half, " ".join([*passage, f"c{i}", "else", *own[2:]]))]
+    forest = lsh_forest.Forest(words=2, depth=4, window=12)
+    got = {r.doc_id: r.component_id for r in lsh_forest.near_groups(docs_of(spark, rows), forest).collect()}
+    _, want = jaccard_components(rows, 2)
+    assert got == want and len(set(want.values())) == half
+
+
 def test_mix_meets_its_targets(spark):
     rng = random.Random(4)
     rows = [(i, " ".join("w" * rng.randrange(1, 4) for _ in range(rng.randrange(0, 900))), "en", rng.choice(["a", "b", "b", "b", "c", None])) for i in range(300)]

@@ -35,7 +35,7 @@ class Forest:
     depth: int = 10  # values in a tree's label
     least_depth: int = 4  # of the common prefix of candidates
     window: int = 48  # neighbours looked at in a region that has more at the least depth; the rest is left to ``rare_links``
-    of_one: int = 8  # of them, rows of one component
+    of_one: int = 8  # of them, rows of one component; likewise
     listed: int = 4  # a row with more candidates in a tree has them tested where it lies, not listed as pairs
     bits: int = 30  # of the 128 sketch bits in which candidates may differ
 
@@ -238,7 +238,7 @@ class _Stretches:
     """
 
     def __init__(self, forest: Forest):
-        self.least, self.depth = forest.window, forest.least_depth
+        self.least, self.depth = min(forest.of_one, forest.window), forest.least_depth
         self.held: list[pd.DataFrame] = []
         self.last, self.size, self.open = None, 0, True
 
@@ -428,7 +428,7 @@ def overflowing(crowded: DataFrame, groups: DataFrame, forest: Forest) -> DataFr
     parts = rows.groupBy("tree", "label", "comp").agg(F.count(F.lit(1)).alias("c"))
     sizes = parts.groupBy("tree", "label").agg(F.sum("c").alias("_n"), F.max("c").alias("most"), F.count(F.lit(1)).alias("comps"))
     # components have only grown since the sweep, so one that had too many rows in view then has them now
-    over = sizes.where((F.col("comps") > 1) & (F.col("_n") > forest.window))
+    over = sizes.where((F.col("comps") > 1) & ((F.col("_n") > forest.window) | (F.col("most") > forest.of_one)))
     return attach(rows, over.select("tree", "label"), ["tree", "label"], ["cls"]).select("cls", "comp").distinct()
 
 

@@ -186,6 +186,19 @@ def test_near_groups_see_links_in_a_region_larger_than_the_view(spark):
     assert got == want and len(set(want.values())) == half
 
 
+def test_near_groups_join_two_large_groups_by_one_link(spark):
+    """Of each group only the first text is linked to the other group; all others lie between these two."""
+    core = [f"k{i}" for i in range(60)]
+    other = [*core[:54], *[f"e{i}" for i in range(6)]]
+    rows = [(0, " ".join(core)), (1000, " ".join(other))]
+    for i in range(100):
+        for first, text, name in ((1, core, "l"), (500, other, "r")):
+            rows.append((first + i, " ".join(f"{name}{i}x{at}" if at // 4 == i % 13 else w for at, w in enumerate(text))))
+    got = {r.doc_id: r.component_id for r in lsh_forest.near_groups(docs_of(spark, rows), lsh_forest.Forest(words=1, depth=4)).collect()}
+    _, want = jaccard_components(rows, 1)
+    assert got == want and len(set(want.values())) == 1
+
+
 def test_mix_meets_its_targets(spark):
     rng = random.Random(4)
     rows = [(i, " ".join("w" * rng.randrange(1, 4) for _ in range(rng.randrange(0, 900))), "en", rng.choice(["a", "b", "b", "b", "c", None])) for i in range(300)]

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlake.llm import exact_dedup, lsh_forest, mil_toxicity, mixing, piece_chunks, pu_quality, risk_rules, secret_ledger, url_alias, warc_revisit
+from emberlake.llm import exact_dedup, lsh_forest, mil_toxicity, mixing, piece_chunks, pu_quality, risk_rules, secret_ledger, spelling, url_alias, warc_revisit
 from emberlake.llm.common import table
 from emberlake.session import fresh_path
 
@@ -90,6 +90,30 @@ SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
     doc_id = min(doc_id) OVER same AS kept, sha256(norm) AS text_sha256
 FROM t WINDOW same AS (PARTITION BY norm)
 """
+#: crc32 of the column ``hashed`` in ``{rows}``, as column ``crc``; the table is made from the polynomial
+CRC = """bits AS (SELECT i, i::BIGINT AS v, 0 AS k FROM range(256) t(i) UNION ALL
+    SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8),
+crc_table AS (SELECT list(v ORDER BY i) AS steps FROM bits WHERE k = 8),
+crcs AS (SELECT {rows}.*, xor(list_reduce(list_transform(range(octet_length(encode(hashed))), lambda p: ('0x' || substr(hex(encode(hashed)), 2 * p + 1, 2))::BIGINT),
+    lambda acc, b: xor(acc >> 8, steps[xor(acc & 255, b) + 1]), 4294967295), 4294967295) AS crc FROM {rows}, crc_table)"""
+SPELLINGS = f"""
+WITH RECURSIVE runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+long_runs AS (SELECT run, coalesce(doc_id::VARCHAR, '') || ':' || run AS hashed FROM runs WHERE length(run) >= 7),
+{CRC.format(rows="long_runs")},
+typed AS (SELECT CASE WHEN crc % 31 = 0 THEN substr(run, 1, crc % length(run)) || substr(run, crc % length(run) + 2) ELSE run END AS word FROM crcs),
+w AS MATERIALIZED (SELECT word, count(*) AS n FROM typed WHERE length(word) >= 7 GROUP BY word HAVING count(*) >= 2),
+cuts AS MATERIALIZED (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM w),
+holes AS MATERIALIZED (SELECT word, n, i, substr(word, 1, i - 1) || '*' || substr(word, i + 1) AS hole, substr(word, 1, i - 1) || substr(word, i + 1) AS less FROM cuts),
+pairs AS MATERIALIZED (SELECT a.word, b.word AS other, b.n AS other_n FROM holes a JOIN holes b ON a.hole = b.hole AND a.word <> b.word
+    UNION SELECT a.word, b.word, b.n FROM holes a JOIN w b ON a.less = b.word
+    UNION SELECT b.word, a.word, a.n FROM holes a JOIN w b ON a.less = b.word),
+best AS MATERIALIZED (SELECT word, count(*) AS n_near, max(other_n) AS top, first(other ORDER BY other_n DESC, other) AS other FROM pairs GROUP BY word),
+judged AS MATERIALIZED (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top >= 10 * n THEN other END AS form, CASE WHEN top >= 10 * n THEN top END AS form_n
+    FROM w LEFT JOIN best USING (word)),
+walk AS (SELECT word, word AS place, 0 AS step FROM w UNION ALL SELECT k.word, j.form, step + 1 FROM walk k JOIN judged j ON k.place = j.word WHERE j.form IS NOT NULL),
+ends AS (SELECT word, first(place ORDER BY step DESC) AS root FROM walk GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM judged JOIN ends USING (word)
+"""
 
 
 def _secrets_sql() -> str:
@@ -168,3 +192,8 @@ def op6(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_secret_ledger", _secrets_sql())
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return secret_ledger.scan_documents(table(spark, folder, "documents"), fresh_path(spark, "secret-ledger"))
+
+
+@query("op11_spelling_variants", SPELLINGS)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.variants(spelling.word_counts(table(spark, folder, "documents"), misspelt=31))

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberlake.llm import exact_dedup, lsh_forest, mil_toxicity, mixing, piece_chunks, pu_quality, risk_rules, secret_ledger, spelling, url_alias, warc_revisit
+from emberlake.llm import conversation, decontaminate, exact_dedup, lsh_forest, mil_toxicity, mixing, piece_chunks, pu_quality, risk_rules, secret_ledger, spelling, url_alias, warc_revisit
 from emberlake.llm.common import table
+from emberlake.llm.oracles import CRC, LEAKS, REPAIRS
 from emberlake.session import fresh_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -90,12 +91,6 @@ SELECT doc_id, min(doc_id) OVER same AS keep_id, count(*) OVER same AS group_siz
     doc_id = min(doc_id) OVER same AS kept, sha256(norm) AS text_sha256
 FROM t WINDOW same AS (PARTITION BY norm)
 """
-#: crc32 of the column ``hashed`` in ``{rows}``, as column ``crc``; the table is made from the polynomial
-CRC = """bits AS (SELECT i, i::BIGINT AS v, 0 AS k FROM range(256) t(i) UNION ALL
-    SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, k + 1 FROM bits WHERE k < 8),
-crc_table AS (SELECT list(v ORDER BY i) AS steps FROM bits WHERE k = 8),
-crcs AS (SELECT {rows}.*, xor(list_reduce(list_transform(range(octet_length(encode(hashed))), lambda p: ('0x' || substr(hex(encode(hashed)), 2 * p + 1, 2))::BIGINT),
-    lambda acc, b: xor(acc >> 8, steps[xor(acc & 255, b) + 1]), 4294967295), 4294967295) AS crc FROM {rows}, crc_table)"""
 SPELLINGS = f"""
 WITH RECURSIVE runs AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
 long_runs AS (SELECT run, coalesce(doc_id::VARCHAR, '') || ':' || run AS hashed FROM runs WHERE length(run) >= 7),
@@ -197,3 +192,13 @@ def op10(spark: SparkSession, folder: str) -> DataFrame:
 @query("op11_spelling_variants", SPELLINGS)
 def op11(spark: SparkSession, folder: str) -> DataFrame:
     return spelling.variants(spelling.word_counts(table(spark, folder, "documents"), misspelt=31))
+
+
+@query("op12_conversation_repair", REPAIRS)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return conversation.repaired(conversation.damaged(table(spark, folder, "conversations")), "copies")
+
+
+@query("op13_decontamination", LEAKS)
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.judged(table(spark, folder, "documents"), table(spark, folder, "benchmark")).drop("longest")

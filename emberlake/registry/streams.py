@@ -1,4 +1,4 @@
-"""Registered streams: T01-T07, run over what is there and compared with their batch meaning."""
+"""Registered streams: T01-T07, run over what is there and compared with their batch meaning over all rows."""
 
 from __future__ import annotations
 
@@ -9,13 +9,14 @@ from emberlake.registry.base import query, rounded
 from emberlake.registry.domain import Domain, cte
 from emberlake.session import fresh_path
 from emberlake.streaming import moisture, state, windows
+from emberlake.streaming.store import run_into
 
 hr = S.hr
 
 
-def _events(d):
+def _events(d, files_per_trigger: int | None = None):
     schema = d.table("events").schema
-    return windows.file_stream(d.spark, f"{d.folder}/events.parquet", schema).withColumn("ts", F.col("ts").cast("timestamp"))
+    return windows.file_stream(d.spark, f"{d.folder}/events.parquet", schema, files_per_trigger).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def _ticks(d):
@@ -29,29 +30,25 @@ def _ticks(d):
     "SELECT cell_id, date::VARCHAR AS date, " + ", ".join(f"{hr(c, 4)} AS {c}" for c in ("ffmc", "dmc", "dc")) + " FROM whole_rolled WHERE rn > 0",
 )
 def _(d):
-    # daily rows in files by year, offered one file per micro-batch in order
+    # ranges of dates, the latest first, two files to a batch: late days are folded in
     root = fresh_path(d.spark, "t01")
     days = d.weather.select("cell_id", "date", *moisture.DRIVERS)
-    for year in range(1995, 2002):
-        days.where(F.year("date") == year).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    stream = windows.file_stream(d.spark, f"{root}/in", days.schema, files_per_trigger=1)
-    got = moisture.run_available(stream, f"{root}/work")
+    days.repartitionByRange(4, F.desc("date")).write.parquet(f"{root}/in")
+    stream = windows.file_stream(d.spark, f"{root}/in", days.schema, files_per_trigger=2)
+    got = run_into(stream, moisture.codes_table(f"{root}/work", buckets=4))
     return rounded(got.select("cell_id", "date", "ffmc", "dmc", "dc"), {"ffmc": 4, "dmc": 4, "dc": 4})
 
 
-cte("last_tick", "ticks", "SELECT max(ts) - INTERVAL 1 HOUR AS mark FROM ticks")
-
-
 def _lightning(hours: int, name: str):
     @query(
         name,
-        "ticks last_tick",
+        "ticks",
         f"SELECT cell_id, (h + to_hours(k::INT) - INTERVAL {hours - 1} HOUR)::VARCHAR AS window_start, sum(f)::DOUBLE AS flashes FROM (SELECT cell_id, date_trunc('hour', ts) AS h, sum(greatest(flashes, 0)) AS f FROM ticks GROUP BY 1, 2)"
-        f" CROSS JOIN (SELECT unnest(range({hours})) AS k) WHERE h + to_hours(k::INT + 1) <= (SELECT mark FROM last_tick) GROUP BY 1, 2",
+        f" CROSS JOIN (SELECT unnest(range({hours})) AS k) GROUP BY 1, 2",
     )
     def _(d):
-        got = windows.run_to_table(windows.lightning(_ticks(d), hours), fresh_path(d.spark, name))
-        return got.select("cell_id", "window_start", "flashes")
+        hourly = run_into(_ticks(d), windows.lightning_table(fresh_path(d.spark, name), buckets=2))
+        return windows.lightning_windows(hourly, hours).select("cell_id", "window_start", "flashes")
 
 
 _lightning(24, "t02_lightning_24h")
@@ -60,13 +57,13 @@ _lightning(72, "t02_lightning_72h")
 
 @query(
     "t03_daily_extremes",
-    "hourly last_tick",
+    "hourly",
     f"SELECT cell_id, ts::DATE::VARCHAR AS date, {hr('max(temperature_k) - 273.15::DOUBLE', 6)} AS temperature_c, min(rh_pct) AS rh_pct, {hr('max(wind_ms) * 3.6::DOUBLE', 6)} AS wind_kmh,"
-    " arg_max(wind_dir_deg, {'w': wind_ms, 't': -epoch_us(ts)}) AS wind_dir_deg, greatest(sum(precip_mm), 0) AS precip_24h_mm FROM hourly WHERE ts::DATE + 1 <= (SELECT mark FROM last_tick) GROUP BY 1, 2",
+    " arg_max(wind_dir_deg, {'w': wind_ms, 't': -epoch_us(ts)}) AS wind_dir_deg, greatest(sum(precip_mm), 0) AS precip_24h_mm FROM hourly GROUP BY 1, 2",
 )
 def _(d):
     hourly = _events(d).select(*Domain.hourly_columns())
-    got = windows.run_to_table(windows.daily_extremes(hourly), fresh_path(d.spark, "t03"))
+    got = windows.daily_extremes(run_into(hourly, windows.extremes_table(fresh_path(d.spark, "t03"), buckets=2)))
     return rounded(got, {"temperature_c": 6, "wind_kmh": 6})
 
 
@@ -83,18 +80,17 @@ def _(d):
     readings = _events(d).select(
         F.col("user_id").alias("alert_id"), "ts", (F.col("value") / 500.0).alias("score"), (F.col("user_id") % 10 / 50.0).alias("threshold")
     )
-    return windows.run_to_table(state.cooled_alerts(readings), fresh_path(d.spark, "t04"))
+    return state.run_alerts(readings, fresh_path(d.spark, "t04"))
 
 
 @query(
     "t05_streamed_usage",
-    "last_tick",
-    "SELECT api_key, day::DATE::VARCHAR AS day, used FROM (SELECT user_id AS api_key, date_trunc('day', ts AT TIME ZONE 'UTC' AT TIME ZONE 'America/Vancouver') AS day, count(*) AS used FROM events GROUP BY 1, 2)"
-    " WHERE day + INTERVAL 1 DAY <= (SELECT mark AT TIME ZONE 'UTC' AT TIME ZONE 'America/Vancouver' FROM last_tick)",
+    "",
+    "SELECT user_id AS api_key, date_trunc('day', ts AT TIME ZONE 'UTC' AT TIME ZONE 'America/Vancouver')::DATE::VARCHAR AS day, count(*) AS used FROM events GROUP BY 1, 2",
 )
 def _(d):
     requests = _events(d).select(F.col("user_id").alias("api_key"), "ts")
-    return windows.run_to_table(windows.usage(requests), fresh_path(d.spark, "t05"))
+    return run_into(requests, windows.usage_table(fresh_path(d.spark, "t05"), buckets=2))
 
 
 @query(
@@ -109,12 +105,11 @@ def _(d):
 
 @query(
     "t07_risk_sessions",
-    "ticks last_tick",
+    "ticks",
     "SELECT cell_id, min(ts)::VARCHAR AS session_start, (max(ts) + INTERVAL 25 HOUR)::VARCHAR AS session_end, count(*) AS records FROM (SELECT *, sum(fresh) OVER (PARTITION BY cell_id ORDER BY ts) AS s FROM"
-    " (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY cell_id ORDER BY ts) + INTERVAL 25 HOUR THEN 0 ELSE 1 END AS fresh FROM ticks WHERE flashes >= 2)) GROUP BY cell_id, s"
-    " HAVING max(ts) + INTERVAL 25 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM ticks WHERE flashes >= 2)",
+    " (SELECT *, CASE WHEN ts < lag(ts) OVER (PARTITION BY cell_id ORDER BY ts) + INTERVAL 25 HOUR THEN 0 ELSE 1 END AS fresh FROM ticks WHERE flashes >= 2)) GROUP BY cell_id, s",
 )
 def _(d):
     risky = _ticks(d).where(F.col("flashes") >= 2).select("cell_id", "ts", F.col("flashes").alias("score"))
-    got = windows.run_to_table(windows.risk_sessions(risky), fresh_path(d.spark, "t07"))
+    got = windows.risk_sessions(run_into(risky, windows.sessions_table(fresh_path(d.spark, "t07"))))
     return got.select("cell_id", "session_start", "session_end", "records")

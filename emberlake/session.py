@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import sys
 import tempfile
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -51,6 +53,17 @@ def shared_dir(spark: SparkSession) -> str:
     return root
 
 
+def by_value(module: str) -> None:
+    """Send the module's functions to the workers by value, so they need no copy of this package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a path of the shared folder that no table points to any more."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def fresh_path(spark: SparkSession, name: str) -> str:
     """A new, never used path below the shared folder."""
     return os.path.join(shared_dir(spark), f"{name}-{uuid.uuid4().hex}")

@@ -6,49 +6,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from emberlake.operators.temporal import DRIVERS, STATE, final_state, fold_codes
-from emberlake.schemas import FWI_STATE
+from emberlake.streaming.store import KeyedTable
 
 
-class CarriedCodes:
-    """foreachBatch writer that rolls each batch forward from the stored state.
+def _days(rows: DataFrame) -> DataFrame:
+    """One row per cell and day: the mean of its ``n`` readings, and their number."""
+    mean = [(F.sum(F.col(c) * F.col("n")) / F.sum(F.when(F.col(c).isNotNull(), F.col("n")))).alias(c) for c in DRIVERS]
+    return rows.groupBy("cell_id", "date").agg(F.sum("n").alias("n"), *mean)
+
+
+def _rolled_on(old: DataFrame | None, new: DataFrame) -> DataFrame:
+    """Fold the new days in; of a cell with a late day all days from there on are folded again, from the codes before it."""
+    if old is None:
+        return fold_codes(_days(new), reset="none", carry=["n"])
+    since = new.groupBy("cell_id").agg(F.min("date").alias("_since"))
+    marked = old.join(since, "cell_id", "left")
+    earlier = F.col("_since").isNull() | (F.col("date") < F.col("_since"))
+    kept = marked.where(earlier)
+    again = marked.where(~earlier).select("cell_id", "date", "n", *DRIVERS)
+    seed = final_state(kept.where(F.col("_since").isNotNull()).select("cell_id", "date", *STATE))
+    rolled = fold_codes(_days(again.unionByName(new)), seed=seed, reset="none", carry=["n"])
+    return kept.select(*rolled.columns).unionByName(rolled)
 
-    Codes go to ``<root>/codes/batch=<id>``, late rows (not newer than the cell's
-    last day) to ``<root>/late/batch=<id>``, the state after batch n to
-    ``<root>/state/<n>``. Every batch writes only paths of its own id and reads the
-    state of the one before, so a repeated batch gives the same files.
-    """
 
-    def __init__(self, root: str, key: str = "cell_id"):
-        self.root, self.key = root, key
-
-    def _state_before(self, spark, batch_id: int) -> DataFrame:
-        if batch_id == 0:
-            return spark.createDataFrame([], FWI_STATE).withColumnRenamed("cell_id", self.key)
-        return spark.read.parquet(f"{self.root}/state/{batch_id - 1}")
-
-    def __call__(self, batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        before = self._state_before(spark, batch_id)
-        seen = before.select(self.key, F.col("as_of").alias("_last"))
-        marked = batch.join(seen, self.key, "left")
-        late = F.col("_last").isNotNull() & (F.col("date") <= F.col("_last"))
-        marked.where(late).drop("_last").write.mode("overwrite").parquet(f"{self.root}/late/batch={batch_id}")
-        fresh = marked.where(~late).groupBy(self.key, "date").agg(*[F.avg(c).alias(c) for c in DRIVERS])
-        rolled = fold_codes(fresh, key=self.key, seed=before, reset="none")
-        out = f"{self.root}/codes/batch={batch_id}"
-        rolled.write.mode("overwrite").parquet(out)
-        ends = final_state(spark.read.parquet(out), self.key)
-        kept = before.join(ends.select(self.key), self.key, "left_anti")
-        kept.select(self.key, "as_of", *STATE).unionByName(ends).write.mode("overwrite").parquet(f"{self.root}/state/{batch_id}")
-
-
-def run_available(weather_stream: DataFrame, root: str, key: str = "cell_id") -> DataFrame:
-    """Process what is there, then return all codes written so far."""
-    query = (
-        weather_stream.writeStream.foreachBatch(CarriedCodes(root, key))
-        .option("checkpointLocation", f"{root}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return weather_stream.sparkSession.read.parquet(f"{root}/codes").drop("batch")
+def codes_table(root: str, buckets: int = 16) -> KeyedTable:
+    """The codes of every cell and day so far, for weather (``cell_id``, ``date``, drivers) in any order.
+
+    A batch in the order of time only appends days to its cells; a late day changes those
+    after it. Readings of one cell and day are averaged, whichever batches bring them.
+    """
+    return KeyedTable(root, ["cell_id"], lambda rows: _days(rows.select("cell_id", "date", *DRIVERS, F.lit(1).cast("long").alias("n"))), _rolled_on, buckets)

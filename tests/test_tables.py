@@ -15,7 +15,6 @@ from emberlake.schemas import FEATURE_ROW
 from emberlake.session import fresh_path
 from emberlake.sources import readers as IN
 from emberlake.sources import writers as OUT
-from emberlake.streaming import moisture, state, windows
 
 
 @pytest.mark.parametrize(
@@ -117,39 +116,6 @@ def test_sinks_replace_only_their_partitions(spark):
     assert spark.read.parquet(path + "-typed").columns == ["cell_id", "date", "lat", "lon", *FEATURES]
 
 
-def test_late_rows_do_not_change_the_state(spark):
-    root = fresh_path(spark, "late")
-    schema = "cell_id string, date date, temperature_c double, rh_pct double, wind_kmh double, precip_24h_mm double"
-    day = lambda c, d: (c, dt.date(2020, 6, d), 25.0, 40.0, 10.0, 0.0)
-    writer = moisture.CarriedCodes(root)
-    for i, rows in enumerate([[day("a", 1), day("a", 2), day("b", 1)], [day("a", 3), day("a", 1), day("b", 3)]]):
-        writer(spark.createDataFrame(rows, schema), i)
-        writer(spark.createDataFrame(rows, schema), i)  # a repeated batch gives the same result
-    codes = spark.read.parquet(f"{root}/codes").orderBy("cell_id", "date").collect()
-    assert [(r.cell_id, r.date.day) for r in codes] == [("a", 1), ("a", 2), ("a", 3), ("b", 1), ("b", 3)]
-    assert [r.cell_id for r in spark.read.parquet(f"{root}/late").collect()] == ["a"]
-    assert {r.cell_id: r.as_of.day for r in spark.read.parquet(f"{root}/state/1").collect()} == {"a": 3, "b": 3}
-
-
-def test_streamed_alerts_equal_a_plain_loop(spark):
-    rnd = random.Random(6)
-    start = dt.datetime(2024, 1, 1)
-    rows = [(rnd.randint(1, 3), start + dt.timedelta(minutes=7 * i), rnd.random()) for i in range(1500)]
-    root = fresh_path(spark, "alerts")
-    whole = spark.createDataFrame(rows, "alert_id bigint, ts timestamp, score double").withColumn("threshold", F.lit(0.7))
-    for lo in (0, 500, 1000):
-        part = spark.createDataFrame(rows[lo : lo + 500], "alert_id bigint, ts timestamp, score double").withColumn("threshold", F.lit(0.7))
-        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
-    stream = windows.file_stream(spark, f"{root}/in", whole.schema, files_per_trigger=1)
-    got = sorted((r.alert_id, r.ts) for r in windows.run_to_table(state.cooled_alerts(stream), f"{root}/work").collect())
-    want, last = [], {}
-    for a, ts, s in rows:
-        if s >= 0.7 and (a not in last or ts - last[a] >= dt.timedelta(hours=24)):
-            want.append((a, ts))
-            last[a] = ts
-    assert got == sorted(want)
-
-
 def test_top_drivers(spark):
     df = spark.createDataFrame([({"fwi": -0.5, "rh_pct": 0.2, "lai": 0.0}, {"fwi": 31.25, "rh_pct": 40.0})], "c map<string,double>, v map<string,double>")
     got = df.select(V.top_drivers(F.col("c"), F.col("v"), 2)).first()[0]

@@ -396,11 +396,13 @@ def in_order(turns: DataFrame, copies: str | None = None, pieces: int | None = N
 
 def _edits_and_turns(turns: DataFrame, copies: str | None, pieces: int | None) -> DataFrame:
     rows = in_order(turns, copies, pieces)
+    # symbols are few bytes but real work: as many tasks as the session shuffles to, not as bytes would make
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     key = f"conv_id {rows.schema['conv_id'].dataType.simpleString()}"
-    sorted_rows = rows.select("conv_id", "piece", "at", "symbol", "copies").repartition("conv_id", "piece").sortWithinPartitions("conv_id", "piece", "at")
+    sorted_rows = rows.select("conv_id", "piece", "at", "symbol", "copies").repartition(tasks, "conv_id", "piece").sortWithinPartitions("conv_id", "piece", "at")
     cut = sorted_rows.mapInArrow(_pieces, f"{key}, piece long, {RUNS_DDL}, costs array<long>")
-    costs = cut.repartition("conv_id").sortWithinPartitions("conv_id", F.desc("piece")).mapInArrow(_costs_to_go, f"{key}, piece long, {RUNS_DDL}, behind array<long>, first boolean, last boolean")
-    chosen = costs.repartition("conv_id", "piece").mapInArrow(_choices, f"{key}, piece long, edits array<string>")
+    costs = cut.repartition(tasks, "conv_id").sortWithinPartitions("conv_id", F.desc("piece")).mapInArrow(_costs_to_go, f"{key}, piece long, {RUNS_DDL}, behind array<long>, first boolean, last boolean")
+    chosen = costs.repartition(tasks, "conv_id", "piece").mapInArrow(_choices, f"{key}, piece long, edits array<string>")
     both = rows.unionByName(chosen, allowMissingColumns=True)  # a piece's edits have no place, so they come before its turns
     return both.repartition("conv_id").sortWithinPartitions("conv_id", "piece", "at")
 

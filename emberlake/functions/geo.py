@@ -35,6 +35,12 @@ def haversine_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Colu
     return F.atan2(F.sqrt(a), F.sqrt(1.0 - a)) * (2.0 * EARTH_KM)
 
 
+def sphere(lat: Column, lon: Column) -> list[Column]:
+    """A place as three coordinates in km from the centre of the earth; straight distances rank like those on the ground."""
+    y, x = F.radians(lat), F.radians(lon)
+    return [F.cos(y) * F.cos(x) * EARTH_KM, F.cos(y) * F.sin(x) * EARTH_KM, F.sin(y) * EARTH_KM]
+
+
 def planar_km(lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
     """Degrees scaled to km at 54 degrees north."""
     dy, dx = (lat1 - lat2) * KM_PER_DEG, (lon1 - lon2) * KM_PER_DEG_LON

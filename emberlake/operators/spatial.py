@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from emberlake.constants import BUFFER_DAYS, FIRE_CELL_CAP_DEG, FIRE_RADIUS_KM, KM_PER_DEG
 from emberlake.functions.geo import KM_PER_DEG_LON, haversine_km, lat_reach_deg, lon_reach_deg
+from emberlake.operators.neighbours import k_nearest
 from emberlake.operators.skew import salted_join
 
 
@@ -17,22 +18,8 @@ def _bin(value: Column, size: float) -> Column:
     return F.floor(value / size).cast("bigint")
 
 
-def bin_size_for(places: DataFrame, most: int = 64) -> float:
-    """A bin size at which no bin holds more than ``most`` places.
-
-    Starts from the mean spacing and halves while some bin is fuller; only single
-    numbers come back to the driver.
-    """
-    n, y0, y1, x0, x1 = places.agg(F.count(F.lit(1)), F.min("_ty"), F.max("_ty"), F.min("_tx"), F.max("_tx")).first()
-    if not n:
-        return 1.0
-    size = max(math.sqrt(max(y1 - y0, 1e-6) * max(x1 - x0, 1e-6) / n), 1e-4)
-    while size > 1e-6:
-        per_bin = places.groupBy(_bin(F.col("_ty"), size), _bin(F.col("_tx"), size)).count()
-        if per_bin.agg(F.max("count")).first()[0] <= most:
-            break
-        size /= 2
-    return size
+#: Targets that a bin may hold when targets are spread out evenly enough for bins of one size.
+FULLEST = 64
 
 
 def nearest(
@@ -41,7 +28,6 @@ def nearest(
     point_id: str,
     target_id: str,
     scale: tuple[float, float] = (1.0, 1.0),
-    bin_size: float | None = None,
     keep: Sequence[str] = (),
 ) -> DataFrame:
     """Exact nearest target of every point: J01, J02, J04, J21.
@@ -51,6 +37,35 @@ def nearest(
     columns; points without coordinates are dropped. ``keep`` names further target
     columns to bring along.
 
+    Two plans give the same rows. Where the targets are spread out over the whole area of points
+    and targets, so that no bin of their mean spacing holds many, all bins have that size
+    (``_by_even_bins``); where they cluster, bins are split only where they are full
+    (``k_nearest``). Two small jobs tell which is the case.
+    """
+    sy, sx = scale
+    places = (
+        targets.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+        .groupBy((F.col("lat") * sy).alias("_ty"), (F.col("lon") * sx).alias("_tx"))
+        .agg(F.min(F.struct(target_id, *keep)).alias("_t"))
+    )
+    asked = points.where(F.col("lat").isNotNull() & F.col("lon").isNotNull()).select(F.col("lat") * sy, F.col("lon") * sx, F.lit(0))
+    everything = places.select("_ty", "_tx", F.lit(1).alias("_n")).union(asked)
+    n, y0, y1, x0, x1 = everything.agg(F.coalesce(F.sum("_n"), F.lit(0)), F.min("_ty"), F.max("_ty"), F.min("_tx"), F.max("_tx")).first()
+    size = max(math.sqrt(max(y1 - y0, 1e-6) * max(x1 - x0, 1e-6) / n), 1e-4) if n else 1.0
+    per_bin = places.groupBy(_bin(F.col("_ty"), size), _bin(F.col("_tx"), size)).count()
+    if n <= FULLEST or per_bin.agg(F.max("count")).first()[0] <= FULLEST:
+        return _by_even_bins(points, places, size, scale, point_id, target_id, keep)
+    at = [F.col("lat") * sy, F.col("lon") * sx]
+    found = k_nearest(points, targets, at, at, target_id, keep=keep)
+    best = F.col("_near")[0]
+    return found.select(*points.columns, *[best["t"][c].alias(c) for c in (target_id, *keep)], F.sqrt(best["d2"]).alias("distance"))
+
+
+def _by_even_bins(
+    points: DataFrame, places: DataFrame, size: float, scale: tuple[float, float], point_id: str, target_id: str, keep: Sequence[str]
+) -> DataFrame:
+    """The nearest of ``places`` (``_ty``, ``_tx``, ``_t``), of which no bin of ``size`` holds many.
+
     The search is planned per *bin of points*, not per point. Bins double in size
     from level to level up to one that holds everything. The lowest level at which
     the bin around a base bin holds a target bounds the distance by that bin's
@@ -62,12 +77,6 @@ def nearest(
     the least distance in place: they are shuffled once and never grouped.
     """
     sy, sx = scale
-    places = (
-        targets.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
-        .groupBy((F.col("lat") * sy).alias("_ty"), (F.col("lon") * sx).alias("_tx"))
-        .agg(F.min(F.struct(target_id, *keep)).alias("_t"))
-    )
-    size = bin_size or bin_size_for(places)
     top = max(2, math.ceil(math.log2(360.0 * max(sy, sx) / size)) + 1)
     side = lambda y, x: [_bin(F.col(y), size).alias("_by"), _bin(F.col(x), size).alias("_bx")]
     ladder = F.explode(F.sequence(F.lit(0), F.lit(top))).alias("_k")
@@ -149,13 +158,15 @@ def within_radius(
     point_id: str = "cell_id",
     target_id: str = "fire_id",
     bin_deg: float = 0.2,
+    split: str = "targets",
 ) -> DataFrame:
     """All (point, target) pairs within a radius in km, inclusive.
 
     Target columns must not collide with the point's, apart from ``lat`` and
     ``lon`` which become ``target_lat`` and ``target_lon``. Each point is listed
     in the bins its circle touches, each target in its own bin only, so a pair
-    meets once. Bins where targets cluster are salted.
+    meets once. Bins where targets (or points, by ``split``) cluster are salted; name the
+    side with more rows.
     """
     radius = F.lit(radius_km) if isinstance(radius_km, (int, float)) else radius_km
     wide = 2 * bin_deg
@@ -172,8 +183,9 @@ def within_radius(
         .withColumns({"_by": _bin(F.col("target_lat"), bin_deg), "_bx": _bin(F.col("target_lon"), wide)})
     )
     distance = haversine_km(F.col("lat"), F.col("lon"), F.col("target_lat"), F.col("target_lon"))
+    sides = (binned, spread, target_id) if split == "targets" else (spread, binned, point_id)
     return (
-        salted_join(binned, spread, ["_by", "_bx"], [target_id])
+        salted_join(*sides[:2], ["_by", "_bx"], [sides[2]])
         .withColumn("distance_km", distance)
         .where(F.col("distance_km") <= F.col("_r"))
         .drop("_by", "_bx", "_r")

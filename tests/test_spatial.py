@@ -6,6 +6,8 @@ from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from emberlake.functions.geo import sphere
+from emberlake.operators import neighbours as N
 from emberlake.operators import skew
 from emberlake.operators import spatial as P
 
@@ -42,6 +44,41 @@ def test_nearest_with_clusters_copies_and_far_points(spark):
     check(spark, points, targets, scale=(111.0, 65.2))
 
 
+def test_clustered_targets_are_split_where_they_are_full(spark):
+    rnd = random.Random(8)
+    points = [(f"p{i}", rnd.uniform(48, 60), rnd.uniform(-139, -114)) for i in range(300)]
+    points += [(f"q{i}", 50 + rnd.uniform(0, 0.05), -120 + rnd.uniform(0, 0.05)) for i in range(300)]
+    spot = lambda n: [(f"t{i:05d}", 50 + rnd.uniform(0, 0.05), -120 + rnd.uniform(0, 0.05)) for i in range(n)]
+    few = [*spot(3000), ("far", 59.0, -115.0), ("copy", 50.01, -120.0), ("acopy", 50.01, -120.0)]
+    check(spark, points, few)
+    check(spark, points, few, scale=(111.0, 65.2))
+
+    def pairs(targets):
+        """Pairs of bins that are looked at, in all steps."""
+        frames = [spark.createDataFrame([r[1:] for r in rows], schema) for rows, schema in ((points, "_p0 double, _p1 double"), (targets, "_t0 double, _t1 double"))]
+        area = N._Area([48.0, -139.0], [60.0, -114.0])
+        return sum(step.count() for step in N.candidate_bins(*frames, area, 1, 0.0, N.MOST))
+
+    even = [(f"t{i}", rnd.uniform(48, 60), rnd.uniform(-139, -114)) for i in range(20_000)]
+    assert pairs(spot(20_000)) < 4 * len(points) and pairs(even) < 4 * len(points)
+
+
+@pytest.mark.parametrize("k", [1, 3, 8])
+def test_k_nearest_of_points_on_the_sphere(spark, k):
+    rnd = random.Random(k)
+    targets = [(i, 50 + rnd.gauss(0, 0.02), -120 + rnd.gauss(0, 0.02)) for i in range(400)] + [(1000 + i, rnd.uniform(-80, 80), rnd.uniform(-180, 180)) for i in range(200)]
+    targets += [(2000 + i, 50.0, -120.0) for i in range(12)] + [(3000, None, 1.0)]
+    points = [(i, rnd.uniform(-85, 85), rnd.uniform(-180, 180)) for i in range(100)] + [(200 + i, 50 + rnd.gauss(0, 0.02), -120.0) for i in range(60)] + [(500, 89.99, 0.0), (501, None, None)]
+    at = sphere(F.col("lat"), F.col("lon"))
+    frames = [spark.createDataFrame(rows, f"{c} long, lat double, lon double") for rows, c in ((points, "p"), (targets, "t"))]
+    got = N.k_nearest(*frames, at, at, "t", k=k, most=20).collect()
+    assert len(got) == len(points) - 1
+    for r in got:
+        want = sorted((km(r.lat, r.lon, y, x), t) for t, y, x in targets if y is not None)[:k]
+        have = [2 * 6371 * math.asin(min(1.0, math.sqrt(n.d2) / (2 * 6371))) for n in r._near[:k]]
+        assert have == pytest.approx([d for d, _ in want], abs=1e-4)
+
+
 @settings(max_examples=5, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 @given(st.integers(0, 10**6), st.integers(1, 40))
 def test_nearest_random(spark, seed, n):

@@ -42,6 +42,13 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(True))
 
 
+def map_rows(rows: DataFrame, fn, outputs: str) -> DataFrame:
+    """``mapInPandas`` over rows with a ``doc_id``, which passes through as text: beside nulls, pandas would round large whole numbers."""
+    kind = rows.schema["doc_id"].dataType
+    through = rows.withColumn("doc_id", F.col("doc_id").cast("string")).mapInPandas(fn, f"doc_id string, {outputs}")
+    return through.withColumn("doc_id", F.col("doc_id").cast(kind))
+
+
 def attach(rows: DataFrame, facts: DataFrame, keys: Sequence[str], salt_on: Sequence[str], how: str = "inner") -> DataFrame:
     """Join each row with the facts of its key; keys with many rows are split by a hash of ``salt_on``.
 
@@ -60,4 +67,9 @@ def sample_by_hash(df: DataFrame, on: Column, bound: int) -> DataFrame:
     rows = df.count()
     if rows <= bound:
         return df
-    return df.where(F.pmod(F.xxhash64(on, F.lit("sample")), F.lit(1_000_000)) < F.lit(int(1_000_000 * bound / rows)))
+    return df.where(F.xxhash64(on, F.lit("sample")) < F.lit(least_hash(rows, bound)))
+
+
+def least_hash(rows: int, bound: int) -> int:
+    """The 64-bit hash below which about ``bound`` of ``rows`` hashes lie, for any number of rows."""
+    return bound * 2**64 // rows - 2**63

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlake.llm.common import ROWS_PER_SALT, UPPER, WORDS, attach, by_value
+from emberlake.llm.common import ROWS_PER_SALT, UPPER, WORDS, attach, by_value, map_rows
 from emberlake.llm.components import components
 from emberlake.operators.skew import salted_join
 from emberlake.session import fresh_path, materialize
@@ -531,9 +531,8 @@ def near_groups(docs: DataFrame, forest: Forest = Forest()) -> DataFrame:
     of one ``doc_id`` are one document. Long texts are used whole. Other columns are not
     looked at. An empty table gives no rows.
     """
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    shape = f"doc_id {kind}, digest binary, n int, values binary, s0 long, s1 long"
-    feats = materialize(docs.select("doc_id", "text").mapInPandas(_features(forest), shape), "forest-features")
+    shape = "digest binary, n int, values binary, s0 long, s1 long"
+    feats = materialize(map_rows(docs.select("doc_id", "text"), _features(forest), shape), "forest-features")
     # rows with one digest have one set, and so one signature
     classes = feats.where("digest is not null").groupBy("digest", "n", "values", "s0", "s1").agg(F.min("doc_id").alias("cls"))
     classes = materialize(classes, "forest-classes")

@@ -8,17 +8,19 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlake.llm.common import by_value, held_out, sample_by_hash
+from emberlake.llm.common import by_value, held_out, map_rows, sample_by_hash
 
 by_value(__name__)
 
 #: Words, and the marks and line ends behind which a sentence is over.
 TOKENS = re.compile(r"[^\W_]+|[.!?\n]+")
-#: Sentences told apart in a text that a model is fitted on, so that a key has 32 bits; scores know no such bound.
+#: Numbers of sentences in a text that a model is fitted on start anew here, so that a key has 32 bits; the keys of a
+#: text are in the order of its sentences, and a new number begins a new sentence.
 SENTENCES = 1 << 15
 
 
@@ -70,12 +72,13 @@ def _extract(s: Settings):
             for text in batch["text"]:
                 keys = []
                 for i, words in enumerate(sentences(text)):
+                    own: set[int] = set()  # a feature counts once in a sentence
                     for w in words:
                         if w not in known:
                             known[w] = bins_of(w, s)
-                        keys.extend([i % SENTENCES * s.bins + b for b in known[w]])
-                # a feature counts once in a sentence
-                rows.append(np.unique(np.array(keys, dtype=np.uint32)).tobytes())
+                        own.update(known[w])
+                    keys.extend([i % SENTENCES * s.bins + b for b in sorted(own)])
+                rows.append(np.array(keys, dtype=np.uint32).tobytes())
             yield pd.DataFrame({"toxic": batch["toxic"], "words": rows})
 
     return extract
@@ -178,8 +181,7 @@ def scored_toxicity(docs: DataFrame, labels: DataFrame, cut: float = 0.5, s: Set
     empty table gives no rows. Without labels no text is called toxic by a single sentence.
     """
     model = fit(docs, labels, s)
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-    scores = docs.select("doc_id", "text").mapInPandas(_score(model, s), f"doc_id {id_type}, score double, sentences array<int>")
+    scores = map_rows(docs.select("doc_id", "text"), _score(model, s), "score double, sentences array<int>")
     return scores.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"), "sentences")
 
 
@@ -187,9 +189,11 @@ def clean_documents(docs: DataFrame, labels: DataFrame, cut: float = 0.5, s: Set
     """The rows of ``docs`` whose score is below ``cut``, with all their columns."""
     model = fit(docs, labels, s)
 
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    at = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict = {}
-        for batch in batches:
-            yield batch[np.array([_scores(t, model, s, known)[0] < cut for t in batch["text"]], dtype=bool)]
+        for batch in batches:  # rows are picked as they are, no value is converted
+            yield batch.filter(pa.array([_scores(t, model, s, known)[0] < cut for t in batch.column(at).to_pylist()], type=pa.bool_()))
 
-    return docs.mapInPandas(keep, docs.schema)
+    return docs.mapInArrow(keep, docs.schema)

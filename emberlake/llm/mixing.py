@@ -23,6 +23,7 @@ class Mix:
     block_words: int = 256
     shard_slots: int = 4096
     most_shards: int = 65_536  # beyond, shards get more slots
+    task_slots: int = 1 << 20  # slots that one task makes, about
     seed: int = 7
 
 
@@ -156,8 +157,9 @@ def draw_slots(spark, plan: dict[str, np.ndarray], mix: Mix) -> DataFrame:
                 yield pd.DataFrame({"shard": r.shard, "slot": slot, "rank": ranks, "epoch": epoch, "block": block, "words": words})
 
     before = F.coalesce(F.sum("taken").over(Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # as many rows per source as there are shards, at most most_shards
-    runs = drawn.withColumn("before", before).repartition("shard")
+    # as many rows per source as there are shards, at most most_shards; few bytes each, but all slots are made from them
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // mix.task_slots))
+    runs = drawn.withColumn("before", before).repartition(min(tasks, max(1, shards)), "shard")
     return runs.mapInPandas(place, "shard long, slot long, rank int, epoch long, block long, words long")
 
 

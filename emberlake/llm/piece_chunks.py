@@ -8,9 +8,8 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from emberlake.llm.common import by_value
+from emberlake.llm.common import by_value, map_rows
 
 by_value(__name__)
 
@@ -60,8 +59,6 @@ class ChunkTable:
 
 def _per_text(docs: DataFrame, model: str, row, names: list[str], outputs: str) -> DataFrame:
     check_model(model)
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         table = ChunkTable(model)
         for batch in batches:
@@ -78,7 +75,7 @@ def _per_text(docs: DataFrame, model: str, row, names: list[str], outputs: str)
                     yield pd.DataFrame([(d, *r) for d, r in zip(ids[at : i + 1], rows, strict=True)], columns=["doc_id", *names])
                     at, size = i + 1, 0
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {id_type}, {outputs}")
+    return map_rows(docs.select("doc_id", "text"), run, outputs)
 
 
 def _digests(entries: list[tuple[str, int, str]]) -> tuple[int, str, str]:
@@ -122,4 +119,4 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
         for batch in batches:
             yield pd.DataFrame({"doc_id": batch["doc_id"], "text": [sp.decode([int(i) for i in ids]) if ids is not None else "" for ids in batch["ids"]]})
 
-    return encoded.select("doc_id", F.col("ids")).mapInPandas(texts, f"doc_id {encoded.schema['doc_id'].dataType.simpleString()}, text string")
+    return map_rows(encoded.select("doc_id", "ids"), texts, "text string")

@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlake.llm.common import WORDS, by_value, held_out, sample_by_hash
+from emberlake.llm.common import WORDS, by_value, held_out, map_rows, sample_by_hash
 
 by_value(__name__)
 
@@ -156,8 +156,6 @@ def fit(docs: DataFrame, labels: DataFrame, s: Settings = Settings()) -> Model:
 
 def score_texts(docs: DataFrame, model: Model, s: Settings = Settings()) -> DataFrame:
     """``doc_id, score`` for every row of ``docs``, from its whole text."""
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict = {}
         for batch in batches:
@@ -169,7 +167,7 @@ def score_texts(docs: DataFrame, model: Model, s: Settings = Settings()) -> Data
                 out.append(float(_sigmoid(np.array(model.weights[at] @ value + model.bias))))
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype(object).where(batch["doc_id"].notna(), None), "score": out})
 
-    return docs.select("doc_id", "text").mapInPandas(score, f"doc_id {id_type}, score double")
+    return map_rows(docs.select("doc_id", "text"), score, "score double")
 
 
 def scored_quality(docs: DataFrame, labels: DataFrame, cut: float = 0.3, s: Settings = Settings()) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberlake.llm.common import WORDS, attach, by_value
+from emberlake.llm.common import WORDS, attach, by_value, map_rows
 from emberlake.session import materialize
 
 by_value(__name__)
@@ -22,9 +22,9 @@ SPAN = 8
 
 @dataclass(frozen=True)
 class Risk:
-    """Rules reject values above a cutoff. In each stratum, with probability ``1 - doubt`` over the holdout, at most ``share`` of good documents is rejected."""
+    """Rules reject values above a cutoff. In each stratum, with probability ``1 - doubt`` over the holdout, at most ``share`` of good documents is rejected, by all rules together."""
 
-    share: float = 0.05
+    share: float = 0.02
     doubt: float = 0.05
     cutoffs: Mapping[str, Sequence[float]] = field(default_factory=lambda: {
         "symbols": (0.02, 0.05, 0.1, 0.15, 0.2, 0.3), "dup_lines": (0.1, 0.2, 0.3, 0.5, 0.7), "repeats": (0.05, 0.1, 0.2, 0.3),
@@ -75,8 +75,6 @@ def measure(texts: list[str | None]) -> pd.DataFrame:
 
 
 def measured(docs: DataFrame, stratum: str) -> DataFrame:
-    id_type = docs.schema["doc_id"].dataType.simpleString()
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:
             at, size = 0, 0
@@ -92,7 +90,7 @@ def measured(docs: DataFrame, stratum: str) -> DataFrame:
 
     names = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, n_upper long"
     rows = docs.select("doc_id", F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), "text")
-    return rows.mapInPandas(run, f"doc_id {id_type}, stratum string, {names}")
+    return map_rows(rows, run, f"stratum string, {names}")
 
 
 def _values() -> dict:
@@ -117,34 +115,39 @@ def below(rejected: int, n: int, share: float) -> float:
     return float(min(1.0, np.exp(top) * np.exp(logs - top).sum()))
 
 
+def steps_of(risk: Risk) -> list[tuple[str, int]]:
+    """The tightenings in their fixed order: ``(rule, place of its cutoff)``, the rules in turn, each from its loosest cutoff on."""
+    most = max(map(len, risk.cutoffs.values()), default=0)
+    return [(r, len(c) - 1 - k) for k in range(most) for r, c in risk.cutoffs.items() if k < len(c)]
+
+
 def choose_cutoffs(holdout: DataFrame, risk: Risk = Risk()) -> DataFrame:
     """``stratum, cuts`` (map of rule to cutoff) from good documents (``stratum`` and the counts of ``measured``).
 
-    Per stratum and rule, the lowest cutoff whose exact upper bound of false rejection is
-    at most the rule's part of ``share``. The doubt is divided by all pairs of stratum, rule
-    and cutoff tried, so all bounds hold together. A rule without such a cutoff rejects
-    nothing there. Documents are counted by bucket before they move; a stratum's task gets
-    one row per rule and bucket.
+    The rules are tightened one step at a time in a fixed order (``steps_of``), from none to
+    all cutoffs, and after each step the documents that any rule rejects are counted. A
+    stratum takes the last step before the first whose exact upper bound of false rejection is
+    above ``share``. As the order is fixed beforehand and testing ends at the first failure,
+    the steps of a stratum need no correction; the doubt is divided by the strata, so all bounds hold together.
+    Documents are counted by step before they move; a stratum's task gets one row per step.
     """
-    names = list(risk.cutoffs)
-    values = _values()
-    buckets = F.array(*[F.struct(F.lit(r).alias("rule"), sum((F.when(values[r] > c, 1).otherwise(0) for c in risk.cutoffs[r]), F.lit(0)).alias("above")) for r in names])
-    counts = holdout.select("stratum", F.explode(buckets).alias("x")).groupBy("stratum", "x.rule", "x.above").count()
+    values, steps = _values(), steps_of(risk)
+    order = {step: i for i, step in enumerate(steps)}
+    # the first step that rejects a document: of each rule, the first whose cutoff is below its value
+    first = [
+        F.coalesce(*[F.when(values[r] > c[i], F.lit(order[r, i])) for i in reversed(range(len(c)))], F.lit(len(steps))) for r, c in risk.cutoffs.items()
+    ]
+    counts = holdout.select("stratum", F.array_min(F.array(F.lit(len(steps)), *first)).alias("step")).groupBy("stratum", "step").count()
     counts = materialize(counts, "risk-counts")
-    strata = counts.select("stratum").distinct().count()
-    doubt = risk.doubt / max(1, strata * sum(map(len, risk.cutoffs.values())))
-    part = risk.share / len(names)
-    cutoffs = {r: list(map(float, risk.cutoffs[r])) for r in names}
+    doubt = risk.doubt / max(1, counts.select("stratum").distinct().count())
+    cutoffs = {r: list(map(float, c)) for r, c in risk.cutoffs.items()}
 
     def choose(rows: pd.DataFrame) -> pd.DataFrame:
-        cuts = {}
-        for rule, mine in rows.groupby("rule"):
-            n = int(mine["count"].sum())
-            for i, c in enumerate(cutoffs[rule]):
-                rejected = int(mine.loc[mine["above"] > i, "count"].sum())
-                if below(rejected, n, part) <= doubt:
-                    cuts[rule] = c
-                    break
+        cuts, n = {}, int(rows["count"].sum())
+        for i, (rule, at) in enumerate(steps):
+            if below(int(rows.loc[rows["step"] <= i, "count"].sum()), n, risk.share) > doubt:
+                break
+            cuts[rule] = cutoffs[rule][at]
         return pd.DataFrame({"stratum": [rows["stratum"].iloc[0]], "cuts": [cuts]})
 
     return counts.groupBy("stratum").applyInPandas(choose, "stratum string, cuts map<string,double>")

@@ -212,22 +212,53 @@ def within_degrees(points: DataFrame, targets: DataFrame, radius_deg: float, tar
     )
 
 
-def exclusion_zone(
-    fire_cells: DataFrame, cells: DataFrame, radius_km: float = FIRE_RADIUS_KM, days: int = BUFFER_DAYS
-) -> DataFrame:
-    """(cell_id, date) pairs near a fire in space and time.
+def month_number(date: Column) -> Column:
+    return F.year(date) * 12 + F.month(date) - 1
+
+
+def _days_mask(first: Column, last: Column) -> Column:
+    """Days of a month as bits: day ``first`` to day ``last``."""
+    upto = lambda n: F.call_function("shiftleft", F.lit(1).cast("bigint"), n)
+    return upto(last) - upto(first - 1)
+
+
+def holds_day(mask: Column, date: Column) -> Column:
+    return F.call_function("shiftright", mask, F.dayofmonth(date) - 1).bitwiseAND(F.lit(1).cast("bigint")) == 1
+
 
-    Neighbours are found once per cell that ever burned, then the fire dates are
-    joined on, so the spatial work does not grow with the number of fires.
+def excluded_days(fire_cells: DataFrame, cells: DataFrame, radius_km: float = FIRE_RADIUS_KM, days: int = BUFFER_DAYS) -> DataFrame:
+    """J08 as ``cell_id, month, mask``: the days near a fire in space and time, one bit each.
+
+    A fire's days become at most a few rows (one per month touched) that are combined by OR, first
+    per burned cell, then per cell around it; days are never listed one by one. Neighbours are found once
+    per cell that ever burned, so the spatial work does not grow with the number of fires.
     """
-    burned = fire_cells.select("cell_id").distinct().join(cells.select("cell_id", "lat", "lon"), "cell_id")
+    first, last = F.date_sub("date", days), F.date_add("date", days)
+    months = F.explode(F.sequence(F.trunc(first, "MM"), last, F.expr("INTERVAL 1 MONTH"))).alias("_m")
+    spans = fire_cells.select("cell_id", first.alias("_first"), last.alias("_last"), months)
+    mask = _days_mask(F.dayofmonth(F.greatest("_first", "_m")), F.dayofmonth(F.least(F.col("_last"), F.last_day("_m"))))
+    burned = spans.groupBy("cell_id", month_number(F.col("_m")).alias("month")).agg(F.bit_or(mask).alias("mask"))
+    ever = fire_cells.select("cell_id").distinct().join(cells.select("cell_id", "lat", "lon"), "cell_id")
     around = within_degrees(
-        burned.withColumnRenamed("cell_id", "fire_cell"), cells.select("cell_id", "lat", "lon"), radius_km / KM_PER_DEG, "cell_id"
+        ever.withColumnRenamed("cell_id", "fire_cell"), cells.select("cell_id", "lat", "lon"), radius_km / KM_PER_DEG, "cell_id"
     ).select("fire_cell", "cell_id")
-    window = F.sequence(F.date_sub("date", days), F.date_add("date", days))
-    dates = fire_cells.select(F.col("cell_id").alias("fire_cell"), "date")
-    reached = around.join(dates, "fire_cell").select("cell_id", "date").distinct()
-    return reached.select("cell_id", F.explode(window).alias("date")).distinct()
+    reached = around.join(burned.withColumnRenamed("cell_id", "fire_cell"), "fire_cell")
+    return reached.groupBy("cell_id", "month").agg(F.bit_or("mask").alias("mask"))
+
+
+def exclusion_zone(fire_cells: DataFrame, cells: DataFrame, radius_km: float = FIRE_RADIUS_KM, days: int = BUFFER_DAYS) -> DataFrame:
+    """(cell_id, date) pairs near a fire in space and time, listed from the bits of ``excluded_days``."""
+    masks = excluded_days(fire_cells, cells, radius_km, days)
+    start = F.make_date(F.floor(F.col("month") / 12).cast("int"), F.pmod("month", F.lit(12)).cast("int") + 1, F.lit(1))
+    listed = masks.select("cell_id", "mask", F.explode(F.sequence(start, F.last_day(start))).alias("date"))
+    return listed.where(holds_day(F.col("mask"), F.col("date"))).select("cell_id", "date")
+
+
+def outside_zone(days: DataFrame, masks: DataFrame) -> DataFrame:
+    """The rows of ``days`` (``cell_id``, ``date``) that ``excluded_days`` doesn't hold."""
+    met = days.withColumn("month", month_number(F.col("date"))).join(masks, ["cell_id", "month"], "left")
+    free = F.col("mask").isNull() | ~holds_day(F.col("mask"), F.col("date"))
+    return met.where(F.coalesce(free, F.lit(True))).select(*days.columns)
 
 
 def zone_envelope(cells: DataFrame, pad_deg: float = 0.1) -> DataFrame:

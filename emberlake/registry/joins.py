@@ -149,8 +149,8 @@ def _(d):
 
 @query("j09_fire_free_days", "weather excluded", "SELECT cell_id, date::VARCHAR AS date FROM weather ANTI JOIN excluded USING (cell_id, date)")
 def _(d):
-    excluded = P.exclusion_zone(P.assign_fires(d.fires, d.stations), d.stations)
-    return d.weather.select("cell_id", "date").join(excluded, ["cell_id", "date"], "left_anti")
+    masks = P.excluded_days(P.assign_fires(d.fires, d.stations), d.stations)
+    return P.outside_zone(d.weather.select("cell_id", "date"), masks)
 
 
 @query(

@@ -272,22 +272,32 @@ def as_of(
     include_same_day: bool = True,
     defaults: Mapping[str, object] | None = None,
     found_date: str = "as_of",
+    ranges: int = 8,
 ) -> DataFrame:
     """The newest history row at most ``days`` old, for every (key, date).
 
-    Each history row is offered to the days that may use it (a bounded fan-out),
-    then the offers meet the wanted days in an equi-join on (key, date); the
-    newest offer wins in a combiner, so nothing is sorted or collected per key.
+    Time is cut into ranges ``ranges`` times as long as the tolerance. History is combined to a row per
+    key and day, and offered once more to the next range if it is still young enough at its
+    start (one row in ``ranges`` or so). Inside a range the wanted days and the history are
+    read in order with the last history carried along, so a window holds a key's days of
+    one range. Wanted days are taken once each; the rows meet their day's answer in an equi-join, which
+    the adaptive join splits where one day is asked for very often.
     """
-    first = 0 if include_same_day else 1
-    last = days if include_same_day else days
-    offers = (
-        history.select(key, F.col("date").alias("_seen"), *values)
-        .withColumn("date", F.explode(F.sequence(F.date_add("_seen", first), F.date_add("_seen", last))))
-        .groupBy(key, "date")
-        .agg(F.max_by(F.struct(F.col("_seen"), *values), "_seen").alias("_hit"))
-    )
-    joined = wanted.join(offers, [key, "date"], "left")
+    span = max(days, 1) * ranges
+    epoch = F.unix_date("date")
+    hit = F.struct(F.col("date").alias("_seen"), *values)
+    offers = history.where(F.col("date").isNotNull()).groupBy(key, "date").agg(F.max_by(F.struct(*values), "date").alias("_v")).select(key, "date", "_v.*")
+    place = F.floor(epoch / span).cast("int")
+    last_range = F.floor((epoch + days) / span).cast("int")
+    offers = offers.select(key, "date", hit.alias("_offer"), F.explode(F.sequence(place, last_range)).alias("_range"))
+    asked = wanted.where(F.col(key).isNotNull() & F.col("date").isNotNull()).select(key, "date").distinct()
+    asked = asked.select(key, "date", F.lit(None).cast(offers.schema["_offer"].dataType).alias("_offer"), place.alias("_range"))
+    both = asked.withColumn("_turn", F.lit(0 if not include_same_day else 1)).unionByName(offers.withColumn("_turn", F.lit(1 if not include_same_day else 0)))
+    in_order = Window.partitionBy(key, "_range").orderBy("date", "_turn").rowsBetween(Window.unboundedPreceding, 0)
+    carried = both.withColumn("_hit", F.last("_offer", ignorenulls=True).over(in_order)).where(F.col("_offer").isNull())
+    young = F.when(F.col("_hit")["_seen"] >= F.date_sub("date", days), F.col("_hit"))
+    answers = carried.select(key, "date", young.alias("_hit"))
+    joined = wanted.join(answers, [key, "date"], "left")
     out = joined.withColumns({found_date: F.col("_hit._seen"), **{c: F.col(f"_hit.{c}") for c in values}}).drop("_hit")
     return out.fillna(dict(defaults)) if defaults else out
 

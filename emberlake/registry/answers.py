@@ -57,10 +57,8 @@ cte("daily", "today", f"SELECT *, 1 / (1 + exp(-({_W5} * {S.logit('raw')} + {_B5
 
 
 def daily(d):
-    """The station records of one day from the whole history before it."""
-    before = d.weather.where(F.col("date") < F.lit(DAY).cast("date"))
-    state = T.final_state(T.fold_codes(before, reset="none"))
-    return DAILY.daily_risk(d.stations, d.weather, state, DAY, calibration=K.CALIBRATION_5KM)
+    """The station records of one day, stepped from the stored codes of the whole history before it."""
+    return DAILY.daily_risk(d.stations, d.weather, d.carried, DAY, calibration=K.CALIBRATION_5KM)
 
 
 @query(
@@ -99,7 +97,7 @@ def _(d):
     f"SELECT cell_id, n10, n30, nall, {hr('near_all', 6)} AS nearest_km, {hr('susceptibility_score', 9)} AS susceptibility_score, susceptibility_basis, susceptibility_percentile, exposure_percentile, {hr('mean_return_years', 5)} AS mean_return_years, typical_severity, dominant_cause FROM stats",
 )
 def _(d):
-    return d.stats.select(
+    return d.statistics().select(
         "cell_id",
         F.col("fires_10yr.count").alias("n10"),
         F.col("fires_30yr.count").alias("n30"),

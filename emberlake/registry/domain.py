@@ -8,14 +8,17 @@ every engine gets the same numbers.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from emberlake import constants as K
 from emberlake.functions.score import fuel_of, zone_of
 from emberlake.registry import sqlx as S
+from emberlake.session import fresh_path
 
 AS_OF_YEAR = 2009
 DAY = "2001-07-15"
@@ -279,14 +282,38 @@ class Domain:
             values += [F.lit(name), k * ((j + 5) * 13) % 1000 / 10.0]
         return self.scored_cells.withColumns({"contributions": F.create_map(*pairs), "feature_values": F.create_map(*values)})
 
-    @cached_property
+    def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A table that the product keeps between questions: written once per application and folder, then read."""
+        at = (self.spark.sparkContext.applicationId, self.folder, name)
+        if at not in _STORED:
+            path, rows = fresh_path(self.spark, name), build()
+            rows.write.parquet(path)
+            _STORED[at] = path, rows.schema
+        path, schema = _STORED[at]
+        return self.spark.read.schema(schema).parquet(path)
+
+    def statistics(self) -> DataFrame:
+        """The long-term statistics, worked out from cells and fires."""
+        from emberlake.operators.firestats import fire_statistics
+
+        return fire_statistics(self.cells, self.fires, AS_OF_YEAR)
+
+    @property
     def stats(self) -> DataFrame:
         """The stored statistics table that the questions about places read."""
-        from emberlake.operators.firestats import fire_statistics
-        from emberlake.session import materialize
+        return self.stored("fire-stats", self.statistics)
+
+    @property
+    def carried(self) -> DataFrame:
+        """The stored codes of each station before ``DAY``, from its whole history."""
+        from emberlake.operators.temporal import final_state, fold_codes
+
+        before = self.weather.where(F.col("date") < F.lit(DAY).cast("date"))
+        return self.stored("carried-codes", lambda: final_state(fold_codes(before, reset="none")))
 
-        return materialize(fire_statistics(self.cells, self.fires, AS_OF_YEAR), "fire-stats")
 
+#: Paths and columns of stored tables by application, folder and name.
+_STORED: dict[tuple[str, str, str], tuple[str, StructType]] = {}
 
 URLS = [
     "https://hooks.example.com/a",

@@ -208,7 +208,7 @@ def _(d):
 def _(d):
     path = fresh_path(d.spark, "stats")
     OUT.replace(d.cells.select("cell_id"), path)
-    OUT.replace(d.stats, path)
+    OUT.replace(d.statistics(), path)
     return d.spark.read.parquet(path).select("cell_id", F.col("fires_10yr.count").alias("n10"), "susceptibility_percentile")
 
 

@@ -102,7 +102,7 @@ def _(d):
 
 @query("w04_percentiles", "ranked", "SELECT cell_id, susceptibility_percentile, exposure_percentile FROM ranked")
 def _(d):
-    return d.stats.select("cell_id", "susceptibility_percentile", "exposure_percentile")
+    return d.statistics().select("cell_id", "susceptibility_percentile", "exposure_percentile")
 
 
 _VEL = lambda p: br(f"(score - {p}) / nullif({p}, 0) * 100.0::DOUBLE", 1)

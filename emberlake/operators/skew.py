@@ -7,6 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from emberlake.session import materialize
+
 MOST_HOT_KEYS = 100_000
 ROWS_PER_SALT = 250_000
 
@@ -52,46 +54,28 @@ def salted_join(
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
 
-def running_totals(
-    df: DataFrame,
-    order: str,
-    sums: Mapping[str, Column],
-    keys: Sequence[str] = (),
-    side: int = 8,
-) -> DataFrame:
+def running_totals(df: DataFrame, order: str, sums: Mapping[str, Column], keys: Sequence[str] = ()) -> DataFrame:
     """Totals strictly below each distinct ``order`` value, per key, exactly.
 
     Returns one row per (keys, order) with ``<name>``, ``<name>_before`` and
     ``<name>_all`` for every entry of ``sums``. ``keys`` must come from a
-    bounded domain (zones, years): what is broadcast has ``side`` squared rows per key.
+    bounded domain (zones, years).
 
-    Rows are first combined per distinct value; the values of a key are then cut
-    into ranges of similar size, totals are accumulated over the few ranges, and
-    a window runs inside one range only. No task ever holds a whole key.
+    Rows are first combined per distinct value. The values are then dealt out by range over as
+    many partitions as the session shuffles to (a sample sort), so a range has its share of the
+    distinct values of all keys, whatever one key owns; what is broadcast is a row for each range
+    and key in it. A window runs inside a range only.
     """
     group = [*keys]
     values = df.groupBy(*group, order).agg(*[expr.alias(name) for name, expr in sums.items()])
-    # every use of ``values`` reads all its columns, so its exchange is built once and reused
-    whole = [
-        F.percentile_approx(order, [i / side**2 for i in range(1, side**2)], 10_000).alias("_cuts"),
-        *[F.sum(n).alias(f"{n}_all") for n in sums],
-    ]
-    if keys:
-        cut = values.join(F.broadcast(values.groupBy(*group).agg(*whole)), group)
-    else:
-        cut = values.withColumn("_whole", values.agg(F.struct(*whole)).scalar()).select(*values.columns, "_whole.*")
-    # two short rounds of comparisons find the range: first the block of ``side`` cuts, then the place in it
-    above = lambda at: F.when(F.col("_cuts")[at] < F.col(order), 1).otherwise(0)
-    coarse = sum((above(side * i - 1) for i in range(2, side)), above(side - 1))
-    fine = sum((above(F.col("_block") * side + j) for j in range(1, side - 1)), above(F.col("_block") * side))
-    cut = cut.withColumn("_block", coarse)
-    ranged = cut.withColumn("_range", F.col("_block") * side + fine).drop("_cuts", "_block")
+    # written, as the number of a range must be the same for all who read it
+    dealt = values.repartitionByRange(*group, order).withColumn("_range", F.spark_partition_id())
+    ranged = materialize(dealt, "ranges")
     per_range = ranged.groupBy(*group, "_range").agg(*[F.sum(n).alias(f"_{n}") for n in sums])
     of_key = Window.partitionBy(*group) if keys else Window.partitionBy(F.lit(0))
     earlier = of_key.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = per_range.select(
-        *group, "_range", *[F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_{n}_off") for n in sums]
-    )
+    totals = [(F.coalesce(F.sum(f"_{n}").over(earlier), F.lit(0)).alias(f"_{n}_off"), F.sum(f"_{n}").over(of_key).alias(f"{n}_all")) for n in sums]
+    offsets = per_range.select(*group, "_range", *[c for pair in totals for c in pair])
     inside = Window.partitionBy(*group, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     placed = ranged.join(F.broadcast(offsets), [*group, "_range"])
     return placed.select(
@@ -103,9 +87,9 @@ def running_totals(
     )
 
 
-def group_median(df: DataFrame, value: str, keys: Sequence[str], name: str, side: int = 8) -> DataFrame:
+def group_median(df: DataFrame, value: str, keys: Sequence[str], name: str) -> DataFrame:
     """Exact median per key of a bounded domain, without holding a key in one task."""
-    ranked = running_totals(df.where(F.col(value).isNotNull()), value, {"n": F.count(F.lit(1))}, keys, side)
+    ranked = running_totals(df.where(F.col(value).isNotNull()), value, {"n": F.count(F.lit(1))}, keys)
     low, high = F.floor((F.col("n_all") - 1) / 2), F.floor(F.col("n_all") / 2)
     first, last = F.col("n_before"), F.col("n_before") + F.col("n") - 1
     middle = ranked.where((first <= high) & (last >= low))

@@ -19,6 +19,7 @@ from emberlake.registry.base import query, rounded
 from emberlake.registry.domain import DAY, OBSERVED, cte
 from emberlake.registry.joins import _CROSS, _ERR, _NODE, _RING, projected_sql
 from emberlake.registry.learn import MODEL_FEATURES, QUICK, _label_rows
+from emberlake.registry.windows import TREND_DAYS
 from emberlake.session import materialize
 
 hr, br = S.hr, S.br
@@ -129,6 +130,24 @@ def _(d):
     return rounded(out, {"composite_score": 6})
 
 
+cte(
+    "cell_forecast",
+    "cells forecast_scored",
+    f"SELECT c.cell_id, rn AS lead_day, {hr('risk', 4)} AS risk_score, {S.level('risk')} AS danger_label FROM (SELECT cell_id, ({_NODE})::BIGINT AS wx_id FROM cells) c JOIN forecast_scored f ON f.cell_id = c.wx_id",
+)
+
+
+@query(
+    "q04_forecast_snippet",
+    "locations location_cell cell_forecast",
+    "SELECT location_id, m.cell_id, lead_day, risk_score, danger_label FROM locations JOIN location_cell m USING (location_id) JOIN cell_forecast f ON f.cell_id = m.cell_id WHERE lead_day <= 3",
+)
+def _(d):
+    forecast = DAILY.forecast(d.cells, d.node_weather, "2001-06-26")
+    got = ANS.risk_profile(d.locations, d.cells, d.predictions.drop("date"), d.stats, forecast)
+    return got.select("location_id", "cell_id", F.inline("forecast_snippet")).drop("valid_date")
+
+
 _LOSS = (
     f"CASE WHEN value_cad > 0 THEN value_cad * comp * {S.case_map(K.SEVERITY_FACTORS, 'typical_severity')} * ({S.case_map(K.ZONE_SEASON_MONTHS, 'bec_zone', '5')} / 12.0::DOUBLE) END"
 )
@@ -155,6 +174,17 @@ def _(d):
     return rounded(out, {"composite_score": 6, "loss": 2})
 
 
+@query(
+    "q05_portfolio_with_forecast",
+    "properties property_cell cell_forecast",
+    "SELECT property_id, m.cell_id, nullif(max(CASE WHEN lead_day <= 3 THEN risk_score END), 0) AS forecast_3day_max FROM properties LEFT JOIN property_cell m USING (property_id) LEFT JOIN cell_forecast f ON f.cell_id = m.cell_id GROUP BY 1, 2",
+)
+def _(d):
+    forecast = DAILY.forecast(d.cells, d.node_weather, "2001-06-26")
+    got = V.portfolio(d.properties, d.cells, d.predictions.drop("date"), d.stats, forecast)
+    return got.select("property_id", "cell_id", "forecast_3day_max")
+
+
 @query(
     "a26_portfolio_summary",
     "assessed",
@@ -184,17 +214,27 @@ _PCT = "(CASE WHEN s > 0 THEN (score - s) / s * 100 WHEN score > 0 THEN score *
 _ANOM = ["WELL_BELOW_NORMAL", "BELOW_NORMAL", "NEAR_NORMAL", "ABOVE_NORMAL", "WELL_ABOVE_NORMAL", "RECORD_HIGH"]
 
 
-@query(
-    "q06_trends",
-    "locations location_cell stats predictions velocities",
-    f"SELECT location_id, cell_id, CASE WHEN score IS NOT NULL THEN {S.steps(_PCT, [-20, 0, 50, 150, 300], _ANOM)} END AS status, coalesce(days_analyzed, 0) AS days_analyzed, v3 AS velocity_3day_pct, v7 AS velocity_7day_pct FROM"
-    " (SELECT l.location_id, m.cell_id, p.score, coalesce(s.susceptibility_score, 0) AS s, v.days_analyzed, v3, v7 FROM locations l LEFT JOIN location_cell m USING (location_id) LEFT JOIN stats s USING (cell_id) LEFT JOIN predictions p USING (cell_id) LEFT JOIN velocities v USING (cell_id))",
-)
-def _(d):
-    got = ANS.trends(d.locations, d.cells, d.predictions.drop("date"), d.stats, d.history)
+def _trend_sql(velocities: str) -> str:
+    return (
+        f"SELECT location_id, cell_id, CASE WHEN score IS NOT NULL THEN {S.steps(_PCT, [-20, 0, 50, 150, 300], _ANOM)} END AS status, coalesce(days_analyzed, 0) AS days_analyzed, v3 AS velocity_3day_pct, v7 AS velocity_7day_pct FROM"
+        f" (SELECT l.location_id, m.cell_id, p.score, coalesce(s.susceptibility_score, 0) AS s, v.days_analyzed, v3, v7 FROM locations l LEFT JOIN location_cell m USING (location_id) LEFT JOIN stats s USING (cell_id) LEFT JOIN predictions p USING (cell_id) LEFT JOIN {velocities} v USING (cell_id))"
+    )
+
+
+def _trend_rows(got):
     return got.select("location_id", "cell_id", "status", "days_analyzed", "velocity_3day_pct", "velocity_7day_pct")
 
 
+@query("q06_trends", "locations location_cell stats predictions velocities", _trend_sql("velocities"))
+def _(d):
+    return _trend_rows(ANS.trends(d.locations, d.cells, d.predictions.drop("date"), d.stats, d.history))
+
+
+@query("q06_trends_of_days", "locations location_cell stats predictions recent_velocities", _trend_sql("recent_velocities"))
+def _(d):
+    return _trend_rows(ANS.trends(d.locations, d.cells, d.predictions.drop("date"), d.stats, d.history, DAY, TREND_DAYS))
+
+
 @query(
     "q07_zones_today",
     "daily",
@@ -319,6 +359,16 @@ def _(d):
     return found.groupBy(F.year("month_start").alias("year")).agg(F.count(F.lit(1)).alias("months"), F.sum("rows").alias("rows"), F.count_if(F.col("rows") < 600).alias("too_small"))
 
 
+@query(
+    "q18_status",
+    "cells predictions runs",
+    "SELECT CASE WHEN p.n > 0 THEN 'operational' ELSE 'initializing' END AS status, p.n > 0 AS pipeline_healthy, c.n AS grid_cells, r.run_id AS last_run, r.status AS last_status, r.started_at::VARCHAR AS last_pipeline_run"
+    " FROM (SELECT count(*) AS n FROM cells) c, (SELECT count(*) AS n FROM predictions) p, (SELECT * FROM runs WHERE status <> 'O' ORDER BY started_at DESC, run_id DESC LIMIT 1) r",
+)
+def _(d):
+    return Q.status(d.cells, d.predictions, d.runs, finished=["F", "P"])
+
+
 @query(
     "q18_coverage",
     "cells predictions",

@@ -282,6 +282,18 @@ class Domain:
             values += [F.lit(name), k * ((j + 5) * 13) % 1000 / 10.0]
         return self.scored_cells.withColumns({"contributions": F.create_map(*pairs), "feature_values": F.create_map(*values)})
 
+    @cached_property
+    def runs(self) -> DataFrame:
+        """Run log: one row per order."""
+        k = F.col("o_orderkey")
+        return self.table("orders").select(
+            F.concat(F.lit("run-"), F.lpad(k.cast("string"), 9, "0")).alias("run_id"),
+            F.concat(F.lit("job-"), (F.col("o_custkey") % 50).cast("string")).alias("job"),
+            F.col("o_orderstatus").alias("status"),
+            F.col("o_orderdate").cast("timestamp").alias("started_at"),
+            F.repeat(F.lit("x"), (k % 1500).cast("int")).alias("error"),
+        )
+
     def stored(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
         """A table that the product keeps between questions: written once per application and folder, then read."""
         at = (self.spark.sparkContext.applicationId, self.folder, name)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from emberlake import constants as K
@@ -225,30 +227,40 @@ cte(
     "SELECT job, arg_max(run_id, {'t': started_at, 'r': run_id}) AS run_id, arg_max(status, {'t': started_at, 'r': run_id}) AS status, least(arg_max(length(error), {'t': started_at, 'r': run_id}), 1000)::BIGINT AS error_length FROM runs GROUP BY 1",
 )
 def _(d):
-    k = F.col("o_orderkey")
-    log = d.table("orders").select(
-        F.concat(F.lit("run-"), F.lpad(k.cast("string"), 9, "0")).alias("run_id"),
-        F.concat(F.lit("job-"), (F.col("o_custkey") % 50).cast("string")).alias("job"),
-        F.col("o_orderstatus").alias("status"),
-        F.col("o_orderdate").cast("timestamp").alias("started_at"),
-        F.repeat(F.lit("x"), (k % 1500).cast("int")).alias("error"),
-    )
-    runs = latest_runs(d.spark.read.parquet(_written(d, log, "runs")))
+    runs = latest_runs(d.spark.read.parquet(_written(d, d.runs, "runs")))
     return runs.select("job", "run_id", "status", F.length("error").cast("bigint").alias("error_length"))
 
 
+@query(
+    "s16_appended_run",
+    "runs",
+    "SELECT status, count(*) AS runs, max(least(length(error), 1000))::BIGINT AS longest_error FROM (SELECT status, error FROM runs UNION ALL SELECT 'partial', repeat('y', max(length(error))) FROM runs) GROUP BY 1",
+)
+def _(d):
+    # the run that wrote the log is logged itself, with an error as long as the longest
+    path = fresh_path(d.spark, "runs")
+    OUT.append_runs(d.runs, path)
+    longest = d.runs.agg(F.max(F.length("error"))).first()[0]
+    began = dt.datetime(2001, 8, 2)
+    OUT.append_run(d.spark, path, ("run-last", "job-log", "partial", began, "y" * longest), d.runs.schema)
+    log = d.spark.read.parquet(path)
+    return log.groupBy("status").agg(F.count(F.lit(1)).alias("runs"), F.max(F.length("error")).cast("bigint").alias("longest_error"))
+
+
 @query(
     "s17_forecast_payload",
     "node_weather",
-    f"SELECT wx_id, lead_day::BIGINT AS lead_day, {hr('CASE WHEN lead_day = 3 THEN NULL ELSE temperature_c END', 6)} AS temperature_c, {hr('rh_pct', 6)} AS rh_pct FROM node_weather"
-    " WHERE wx_id IN (SELECT wx_id FROM node_weather GROUP BY 1 HAVING count(*) = 7)",
+    f"SELECT wx_id, lead_day, {hr('CASE WHEN lead_day = 3 THEN NULL ELSE temperature_c END', 6)} AS temperature_c, {hr('rh_pct', 6)} AS rh_pct"
+    " FROM (SELECT wx_id, unnest(range(1, max(lead_day) + 1))::BIGINT AS lead_day FROM node_weather GROUP BY 1) LEFT JOIN node_weather USING (wx_id, lead_day)",
 )
 def _(d):
-    days = F.array_sort(F.collect_list(F.struct("lead_day", F.when(F.col("lead_day") != 3, F.col("temperature_c")).alias("t"), F.col("rh_pct").alias("h"))))
-    whole = d.node_weather.groupBy("wx_id").agg(days.alias("days")).where(F.size("days") == 7)  # at most seven lead days
-    daily = F.struct(F.transform("days", lambda x: x["t"]).alias("temperature_2m_max"), F.transform("days", lambda x: x["h"]).alias("relative_humidity_2m_min"))
+    # a place's arrays run to its last lead day; days it lacks are null in them
+    known = F.map_from_entries(F.collect_list(F.struct("lead_day", F.struct(F.when(F.col("lead_day") != 3, F.col("temperature_c")).alias("t"), F.col("rh_pct").alias("h")))))
+    places = d.node_weather.groupBy("wx_id").agg(known.alias("known"), F.max("lead_day").alias("last"))
+    at = lambda c: F.transform(F.sequence(F.lit(1).cast("bigint"), F.col("last").cast("bigint")), lambda i: F.element_at("known", i.cast(d.node_weather.schema["lead_day"].dataType))[c])
+    daily = F.struct(at("t").alias("temperature_2m_max"), at("h").alias("relative_humidity_2m_min"))
     payload = F.to_json(F.struct(daily.alias("daily")), {"ignoreNullFields": "false"})
-    got = IN.forecast_payload(whole.select("wx_id", payload.alias("payload")))
+    got = IN.forecast_payload(places.select("wx_id", payload.alias("payload")))
     return rounded(got.select("wx_id", (F.col("lead_day") + 1).alias("lead_day"), "temperature_c", "rh_pct"), {"temperature_c": 6, "rh_pct": 6})
 
 

@@ -106,12 +106,16 @@ def _(d):
 
 
 _VEL = lambda p: br(f"(score - {p}) / nullif({p}, 0) * 100.0::DOUBLE", 1)
-cte(
-    "velocities",
-    "history",
-    f"SELECT cell_id, n AS days_analyzed, CASE WHEN n >= 4 AND p3 > 0 THEN {_VEL('p3')} END AS v3, CASE WHEN n >= 7 AND p7 > 0 THEN {_VEL('p7')} END AS v7 FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY date) AS rn,"
-    " count(*) OVER (PARTITION BY cell_id) AS n, lag(score, 3) OVER (PARTITION BY cell_id ORDER BY date) AS p3, coalesce(lag(score, 7) OVER (PARTITION BY cell_id ORDER BY date), lag(score, 6) OVER (PARTITION BY cell_id ORDER BY date)) AS p7 FROM history) WHERE rn = n",
-)
+def _velocities(history: str) -> str:
+    return (
+        f"SELECT cell_id, n AS days_analyzed, CASE WHEN n >= 4 AND p3 > 0 THEN {_VEL('p3')} END AS v3, CASE WHEN n >= 7 AND p7 > 0 THEN {_VEL('p7')} END AS v7 FROM (SELECT *, row_number() OVER (PARTITION BY cell_id ORDER BY date) AS rn,"
+        f" count(*) OVER (PARTITION BY cell_id) AS n, lag(score, 3) OVER (PARTITION BY cell_id ORDER BY date) AS p3, coalesce(lag(score, 7) OVER (PARTITION BY cell_id ORDER BY date), lag(score, 6) OVER (PARTITION BY cell_id ORDER BY date)) AS p7 FROM {history}) WHERE rn = n"
+    )
+
+
+cte("velocities", "history", _velocities("history"))
+TREND_DAYS = 720
+cte("recent_velocities", "history", _velocities(f"(SELECT * FROM history WHERE date BETWEEN DATE '{DAY}' - {TREND_DAYS} AND DATE '{DAY}')"))
 
 
 @query("w05_velocity", "velocities", "SELECT cell_id, days_analyzed, v3 AS velocity_3day_pct, v7 AS velocity_7day_pct FROM velocities")

@@ -54,8 +54,12 @@ def replace(df: DataFrame, path: str) -> None:
 
 def append_run(spark: SparkSession, path: str, row: tuple, schema) -> None:
     """One run-log row, its error cut to 1,000 characters."""
-    log = spark.createDataFrame([row], schema)
-    log.withColumn("error", F.substring("error", 1, 1000)).coalesce(1).write.mode("append").parquet(path)
+    append_runs(spark.createDataFrame([row], schema).coalesce(1), path)
+
+
+def append_runs(runs: DataFrame, path: str) -> None:
+    """Run-log rows, their errors cut to 1,000 characters."""
+    runs.withColumn("error", F.substring("error", 1, 1000)).write.mode("append").parquet(path)
 
 
 def write_parameters(params: DataFrame, path: str) -> None:

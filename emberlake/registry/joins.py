@@ -258,9 +258,9 @@ def _(d):
 @query(
     "j17_soil_merge",
     "weather",
-    "SELECT a.cell_id, a.date::VARCHAR AS date, CASE WHEN day(a.date) % 2 = 0 THEN 'primary' WHEN b.cell_id IS NOT NULL THEN 'reanalysis' ELSE 'default' END AS soil_source,"
-    f" {hr('CASE WHEN day(a.date) % 2 = 0 THEN a.soil_moisture_1 ELSE coalesce(b.soil_moisture_1, 0.25) END', 6)} AS soil_moisture_1"
-    " FROM weather a LEFT JOIN (SELECT cell_id, (date + 1)::DATE AS date, soil_moisture_1 FROM weather) b USING (cell_id, date)",
+    "SELECT cell_id, date::VARCHAR AS date, CASE WHEN day(date) % 2 = 0 THEN 'primary' WHEN hit THEN 'reanalysis' ELSE 'default' END AS soil_source,"
+    f" {hr('CASE WHEN day(date) % 2 = 0 THEN soil_moisture_1 WHEN hit THEN before ELSE 0.25 END', 6)} AS soil_moisture_1"
+    " FROM (SELECT *, coalesce(lag(date) OVER days = (date - 1)::DATE, false) AS hit, lag(soil_moisture_1) OVER days AS before FROM weather WINDOW days AS (PARTITION BY cell_id ORDER BY date))",
 )
 def _(d):
     feed = d.weather.select("cell_id", "date", F.when(F.dayofmonth("date") % 2 == 0, F.col("soil_moisture_1")).alias("soil_moisture_1"))
